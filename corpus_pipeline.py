@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readloom.llm import exact_dedup, secrets
+from readloom.llm import exact_dedup, langid, near_dedup, packing, secrets
 from readloom.llm.common import documents, stored
+from readloom.llm.queries import PIECES, WORD_BPE
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: texts that are null or without a letter.  lang stays as it is given."""
+    model = langid.train(docs, PIECES)
+    rejected = stored(langid.predict(docs, PIECES, model).where("lang_pred = 'und'").select(F.col("doc_id").alias("_rejected")), "rejected").distinct()
+    found = docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")
+    return found.where(F.regexp_like("text", F.lit(r"\p{L}")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +23,28 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.distinct_documents(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest doc_id stays."""
+    return near_dedup.without_near_duplicates(docs)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are replaced by a mark."""
     return secrets.redacted(docs)
 
 
-STAGES = [("exact dedup", exact_stage), ("secret scan", secret_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    return packing.pack(docs, WORD_BPE)
+
+
+STAGES = [
+    ("language id", language_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("secret scan", secret_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: Near-duplicate groups come from minima of random arrivals, which SQL can't express; tests use brute force.
 ORACLE_SQL = None
