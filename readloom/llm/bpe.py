@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from readloom.llm.common import small_batches, texts_of
 
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 60_000, 400_000, 150_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 150_000, 400_000, 400_000
 #: Bytes up to which a piece may be held whole.
 LONG = 64
 
