@@ -13,9 +13,7 @@ from readloom.llm.queries import PIECES, WORD_BPE
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: texts that are null or without a letter.  lang stays as it is given."""
     model = langid.train(docs, PIECES)
-    rejected = stored(langid.predict(docs, PIECES, model).where("lang_pred = 'und'").select(F.col("doc_id").alias("_rejected")), "rejected").distinct()
-    found = docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")
-    return found.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    return langid.predict(docs, PIECES, model, ("_lang", "_score")).where("_lang <> 'und'").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

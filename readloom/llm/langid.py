@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.llm.common import crc_mod, small_batches, stored, texts_of
 
@@ -220,8 +221,8 @@ def train(docs: DataFrame, path: str, rounds: int = 2) -> tuple[list[str], np.nd
     return langs, prob, prior
 
 
-def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score of each row of docs(doc_id, text): the likeliest language and its posterior probability.
+def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs(text, ...) with two more columns, called by `names`: the likeliest language and its posterior probability.
 
     A text that is null or without a letter, and any text where no language was learned, gets `und` and score 0.
     """
@@ -233,7 +234,7 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.n
         place: dict[str, int] = {}
         table = np.empty((0, len(langs)))
         for b in batches:
-            texts = [words(t) if langs else [] for t in b.column(1).to_pylist()]
+            texts = [words(t) if t and langs else [] for t in b.column("text").to_pylist()]
             new = list(set().union(*texts).difference(place)) if len(place) < MOST_WORDS else None
             if new is None:  # begin anew, so that memory stays bounded
                 place, new = {}, list(set().union(*texts))
@@ -250,10 +251,10 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.n
                 best = int(total.argmax())
                 pred.append(langs[best])
                 score.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *names])
 
     small_batches(docs.sparkSession)
-    return texts_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def identify(docs: DataFrame, path: str, rounds: int = 2, folds: int = 3, held: int = 1) -> DataFrame:
@@ -264,5 +265,5 @@ def identify(docs: DataFrame, path: str, rounds: int = 2, folds: int = 3, held:
     is in fold 0; an empty table gives no rows, as does one without languages give `und` throughout.
     """
     model = train(docs.where(crc_mod("doc_id", folds) != held), path, rounds)
-    out = predict(docs, path, model)
+    out = predict(texts_of(docs), path, model)
     return out.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
