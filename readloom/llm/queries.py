@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import bpe, classlm, exact_dedup, langid, near_dedup, packing, quality, secrets, spotsigs
+from readloom.llm import bpe, classlm, exact_dedup, langid, near_dedup, packing, pii, quality, secrets, spotsigs
 from readloom.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,14 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: The key of the surrogates; a deployment passes a secret of its own.
+KEY = b"readloom example key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir), KEY)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -51,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_exact_dedup, op4_class_lm, op5_best_fit_packing, op6_near_dedup, op7_language_id, op8_secret_scan, op9_spot_signatures, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_surrogates, op2_byte_bpe, op3_exact_dedup, op4_class_lm, op5_best_fit_packing, op6_near_dedup, op7_language_id, op8_secret_scan, op9_spot_signatures, op10_quality)}
 
 
 def _secret_sql() -> str:
