@@ -130,7 +130,7 @@ def vcf_lines(variants: DataFrame, sample: str = "sample") -> DataFrame:
     spark = variants.sparkSession
     head = spark.createDataFrame([(x,) for x in [*VCF_HEAD, TAB.join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]], "value string").coalesce(1)
     info = F.concat(F.lit("DP="), F.col("depth").cast("string"), F.lit(";AD="), F.col("allele_depth").cast("string"))
-    line = F.concat_ws(TAB, "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", "alt", F.format_number("quality", "0.00"), F.lit("PASS"), info, F.lit("GT"), "genotype")
+    line = F.concat_ws(TAB, "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", "alt", F.format_string("%.2f", "quality"), F.lit("PASS"), info, F.lit("GT"), "genotype")
     body = variants.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
     return head.unionByName(body.select(line.alias("value")))
 
@@ -153,7 +153,7 @@ RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 def read_taxonomy(spark: SparkSession, *paths: str) -> DataFrame:
     """otu_id and its seven ranks from lines of `id<TAB>a;b;c;...`."""
     rows = _fields(spark.read.text(list(paths)), ["otu_id", "ranks"])
-    parts = F.transform(F.split("ranks", ";"), F.trim)
+    parts = F.transform(F.split("ranks", ";"), lambda x: F.trim(x))
     return rows.where("ranks is not null").select("otu_id", *[F.try_element_at(parts, F.lit(i + 1)).alias(r) for i, r in enumerate(RANKS)])
 
 
