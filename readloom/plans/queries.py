@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import alignments as A
 from readloom.functions import sequences as S
-from readloom.operators import intervals, kernels, variants
+from readloom.operators import consensus, intervals, kernels, variants
 from readloom.operators import reads as R
 from readloom.plans.views import WITH, aln, reads, regions, table
 
@@ -342,6 +342,37 @@ def gc_content(spark, d):
     return reads(spark, d).where("length(seq) > 0").select("read_id", F.length("seq").cast("long").alias("length"), r6(gc, "gc"))
 
 
+# Consensus graphs: each user's events in order are a path through (place, type)
+
+_STEPS = """, steps AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_type AS base FROM events),
+ e AS (SELECT user_id % 16 AS win, pos, base AS u, lead(base) OVER (PARTITION BY user_id ORDER BY pos) AS v FROM steps),
+ n AS (SELECT win, pos, u, v, count(*) AS n FROM e WHERE v IS NOT NULL GROUP BY ALL),
+ w AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY win, pos, u) AS out_, n * 1.0 / sum(n) OVER (PARTITION BY win, pos, v) AS into_ FROM n) """
+
+
+def _steps(spark, d):
+    row = F.struct(F.col("ts"), F.col("event_id"), F.col("event_type"))
+    each = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(row)).alias("e"))  # one user's events
+    path = F.transform("e", lambda x, i: F.struct((i + 1).cast("bigint").alias("pos"), F.lit(0).alias("off"), x["event_type"].alias("base")))
+    return consensus.edges(each.select((F.col("user_id") % 16).alias("window"), path.alias("path")))
+
+
+@query(_STEPS + 'SELECT win AS "window", pos, u, v, n, round(out_, 6) AS "out", round(into_, 6) AS "into" FROM w')
+def path_edges(spark, d):
+    rows = consensus.weighed(_steps(spark, d))
+    return rows.select("window", F.col("u.pos").alias("pos"), F.col("u.base").alias("u"), F.col("v.base").alias("v"), "n", r6("out", "out"), r6("into", "into"))
+
+
+@query(_STEPS + 'SELECT win AS "window", pos, u, v, n FROM w WHERE n > 1 AND out_ > 0.1')
+def edge_pruning(spark, d):
+    return consensus.pruned(_steps(spark, d)).select("window", F.col("u.pos").alias("pos"), F.col("u.base").alias("u"), F.col("v.base").alias("v"), "n")
+
+
+@query()
+def top_paths(spark, d):
+    return consensus.top_paths(consensus.weighed(_steps(spark, d)), 5)
+
+
 # Kernels, checked by tests against brute force
 
 
