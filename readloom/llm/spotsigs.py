@@ -28,6 +28,11 @@ CHAIN = 2
 LEAST = 0.05
 
 
+def _first_full(a: Column, b: Column) -> Column:
+    """a unless it is empty, else b; a is worked out once, as the value of a lambda's variable."""
+    return F.element_at(F.transform(F.array(a), lambda x: F.when(F.size(x) > 0, x).otherwise(b)), 1)
+
+
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
     """The distinct signatures of a text, as 64-bit hashes in order.
 
@@ -44,7 +49,7 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     spots = F.transform(spots, lambda s: F.regexp_replace(s, r"\|[^ |]+", ""))
     bare = F.filter(F.split(words, " "), lambda w: w != "")
     whole = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array(low))
-    parts = F.when(F.size(spots) > 0, spots).when(F.size(bare) > 0, bare).otherwise(whole)
+    parts = _first_full(spots, _first_full(bare, whole))
     return F.sort_array(F.array_distinct(F.transform(parts, lambda s: F.xxhash64(s))))
 
 
