@@ -12,6 +12,7 @@ from readloom.functions import sequences as S
 from readloom.operators import consensus, intervals, kernels, variants
 from readloom.operators import reads as R
 from readloom.plans.views import WITH, aln, reads, regions, table
+from readloom.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -285,6 +286,17 @@ def jaccard_bins(spark, d):
     return R.jaccard(table(spark, d, "part"), "p_brand", "p_size").withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, d):
+    return windows.windowed_counts(table(spark, d, "events"), "ts", ["event_type"], "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (
+ SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, g""")
+def event_sessions(spark, d):
+    return windows.sessions(table(spark, d, "events"), "ts", ["user_id"], "1 hour").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 # Sequences
 
 
