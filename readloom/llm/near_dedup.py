@@ -6,7 +6,7 @@ register with the probability of their probability Jaccard coefficient.  A shing
 later than all registers.  Registers are hashed in bands; documents that share a band are candidates.
 
 Texts of equal words are one node from the start.  In each bucket every member is compared with one leader, so work
-grows with the bucket and not with its square; the leader differs from band to band.  Where a bucket still holds
+grows with the bucket and not with its square.  Where a bucket still holds
 several components afterwards, its members are compared across components by an exact prefix filter on their rarest
 shingles, so no link is lost to the star shape.  A link is a Jaccard coefficient of 0.8 or more of the shingle sets.
 """
@@ -174,12 +174,15 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """Links (a, b) between nodes(id, bands) that join all of them that are alike, directly or through others."""
+    total = max(1, nodes.count())
     bands = nodes.where("bands is not null").select("id", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count("*").alias("crowd"), F.min_by("id", F.xxhash64("id", "key")).alias("leader")).where("crowd > 1")
-    buckets = stored(buckets, "buckets")
-    total = nodes.count()
-    members = stored(join_groups(bands, buckets, "key", "crowd", max(1, total)).where("leader is not null"), "bucket-members")
-    pairs = members.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("crowd").alias("crowd"))
+    crowds = stored(bands.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"), "buckets")
+    members = stored(join_groups(bands, crowds, "key", "crowd", total).where("crowd is not null"), "bucket-members")
+    # The member that meets most others over all bands leads its buckets: among edited copies, one close to their source.
+    known = members.groupBy("id").agg(F.sum("crowd").alias("met"))
+    leaders = members.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("met", "id")).alias("leader"), F.count("*").alias("size"))
+    led = join_groups(members, stored(leaders, "leaders"), "key", "size", total)
+    pairs = led.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("crowd").alias("crowd"))
     sets = stored(_sets(_texts(docs, members.select("id").distinct())), "shingle-sets")
     links = stored(_verified(pairs, sets, least), "links")
     of = stored(components(links), "first-components")
@@ -193,8 +196,14 @@ def near_links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataF
 
 
 def _across(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links between rest(id, component) of different components: like sets share one of the rarest n - ceil(least n) + 1
-    shingles of each, so pairs come from these alone."""
+    """Links between rest(id, component) of different components, by exact filters alone.
+
+    Let two sets of n and m shingles, m <= n, be alike.  They share at least q (n + m), q = least / (1 + least).  So each
+    has as many shingles that occur twice or more at all: with s such of n, m is at most s / q - n, and t of m are at
+    least q (n + m).  And they share one of the rarest n - ceil(least n) + 1 shingles of each.  Copies of one source
+    that were edited so much that they are unlike have too few shared shingles, so a group of them makes no pairs.
+    Sets meet on a shingle and on a step of the size of the smaller set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,17 +214,25 @@ def _across(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(component, n)), pa.array(np.repeat(n, n)), pa.array(h)], ["id", "component", "n", "shingle"])
 
     rows = stored(rest.join(sets, "id").select("id", "component", "set").mapInArrow(run, "id long, component long, n long, shingle long"), "mixed-shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    total = rows.count()
-    ranked = join_groups(rows, stored(often, "shingle-counts"), "shingle", "df", total)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
-    prefix = ranked.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (least - 1e-9)) + 1)
-    prefix = stored(prefix.select("id", "component", "n", "shingle"), "mixed-prefixes")
-    shared = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    prefix = prefix.join(shared, "shingle", "left_semi")
-    other = prefix.select("shingle", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"))
-    near = prefix.withColumnRenamed("id", "a").join(other, "shingle").where((F.col("component") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * (least - 1e-9)))
-    pairs = stored(near.select("a", "b").distinct(), "mixed-pairs")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("df > 1")
+    shared = join_groups(rows, stored(often, "shingle-counts"), "shingle", "df", max(1, rows.count()))
+    by_id = Window.partitionBy("id")
+    q, eps = least / (1 + least), 1e-9
+    ranked = shared.select("id", "component", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"), (F.col("low") != F.col("high")).alias("mixed"))
+    ranked = ranked.withColumn("rank", F.row_number().over(by_id.orderBy("df", "shingle"))).withColumn("s", F.count(F.when(F.col("df") > 1, 1)).over(by_id))
+    prefix = ranked.where("mixed").where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (least - eps)) + 1)
+    prefix = stored(prefix.select("id", "component", "n", "s", "shingle"), "mixed-prefixes")
+
+    def step(size):
+        return F.floor(F.log(size.cast("double")) / float(np.log(1.02)))
+
+    most = F.least(F.col("n").cast("double"), F.col("s") / q - F.col("n") + eps)
+    large = prefix.withColumn("most", most).where(F.col("most") >= F.col("n") * (least - eps))
+    large = large.select(F.col("id").alias("a"), "component", "n", "s", "shingle", F.explode(F.sequence(step(F.col("n") * (least - eps)), step(F.col("most")))).alias("step"))
+    small = prefix.where(F.col("s") >= F.col("n") * (2 * q - eps)).select(F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), "shingle", step(F.col("n")).alias("step"))
+    need = F.col("component").isNotNull() & (F.col("component") != F.col("other")) & (F.col("m") <= F.col("n")) & (F.least("s", "t") >= (F.col("n") + F.col("m")) * (q - eps))
+    near = large.join(small, ["shingle", "step"]).where(need)
+    pairs = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "mixed-pairs")
     crowd = pairs.groupBy("a").agg(F.count("*").alias("crowd"))
     return _verified(pairs.join(crowd, "a"), sets, least)
 
