@@ -25,7 +25,8 @@ from readloom.llm.common import crc_mod, small_batches, stored, texts_of
 MARK = "▁"
 #: Longer runs of letters are cut at this many; pieces are shorter than that.
 LONGEST, PIECE = 32, 12
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
+SLOTS = 18
 #: Probability of a letter that no piece holds, and what is added to each expected count.
 UNKNOWN, ADDED = 1e-7, 1e-3
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,8 +55,14 @@ class Pieces:
         self.names = sorted(p for p in found if len(p) <= PIECE and p.replace(MARK, "", 1).isalpha() and MARK not in p[1:] and p == p.lower())
         with np.errstate(over="ignore"):
             hashes = np.array([self._hash(p) for p in self.names], np.uint64)
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+        # Two tables by different bits of the hash: a piece whose place in the first is taken goes to the second.
+        self.hashes = np.append(hashes, np.uint64(0))
+        self.first, self.second = (np.full(1 << SLOTS, len(self.names), np.int32) for _ in range(2))
+        for i, h in enumerate(hashes.tolist()):
+            table, slot = (self.first, h >> 64 - SLOTS) if self.first[h >> 64 - SLOTS] == len(self.names) else (self.second, h >> 20 & (1 << SLOTS) - 1)
+            if table[slot] != len(self.names):
+                raise ValueError("pieces of one place in both tables")
+            table[slot] = i
 
     def __len__(self) -> int:
         return len(self.names)
@@ -78,8 +85,13 @@ class Pieces:
                 for j in range(k):
                     h = (h ^ codes[:, j : length - k + 1 + j]) * BASE
                     h ^= h >> np.uint64(29)
-                at = np.minimum(np.searchsorted(self.sorted, h), none - 1)
-                out.append(np.where(self.sorted[at] == h, self.order[at], none))
+                at = self.first[h >> np.uint64(64 - SLOTS)]
+                lost = (at < none) & (self.hashes[at] != h)
+                if lost.any():
+                    other = h[lost]
+                    again = self.second[other >> np.uint64(20) & np.uint64((1 << SLOTS) - 1)]
+                    at[lost] = np.where(self.hashes[again] == other, again, none)
+                out.append(at)
         return out
 
 
