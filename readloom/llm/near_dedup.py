@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import join_groups, small_batches, stored, texts_of
@@ -112,21 +112,26 @@ def split_words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def text_digest(text: str | Column) -> Column:
+    """Tells texts of one doc_id apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the words in order), n (distinct shingles), bands of each row."""
+    """doc_id, digest (of the text as it is), content (digest of the words in order), n (distinct shingles), bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [split_words(t) for t in b.column(1).to_pylist()]
+            texts = [split_words(t) for t in b.column(2).to_pylist()]
             content = [hashlib.blake2b(" ".join(t).encode(), digest_size=16).digest() for t in texts]
             doc, h, count = shingles(texts)
             bands = band_keys(prob_min_hash(doc, h, 1 + np.log(count), len(texts)))
             n = np.bincount(doc, minlength=len(texts))
             some = [x if k else None for x, k in zip(bands, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary()), pa.array(n, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["doc_id", "content", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary()), pa.array(n, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["doc_id", "digest", "content", "n", "bands"])
 
     small_batches(docs.sparkSession)
-    return texts_of(docs).mapInArrow(run, "doc_id long, content binary, n long, bands array<long>")
+    return texts_of(docs).select("doc_id", text_digest("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, content binary, n long, bands array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -166,14 +171,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the documents in ids(id); of rows with one doc_id the largest text counts."""
-    texts = texts_of(docs).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text"))
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id and text of nodes(id, first): the text of the row that has the node's first doc_id and digest."""
+    named = nodes.select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"))
+    texts = texts_of(docs).withColumn("digest", text_digest("text")).join(named, ["doc_id", "digest"])
+    return texts.groupBy("id").agg(F.first("text").alias("text"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """Links (a, b) between nodes(id, bands) that join all of them that are alike, directly or through others."""
+    """Links (a, b) between nodes(id, first, bands) that join all of them that are alike, directly or through others."""
     total = max(1, nodes.count())
     bands = nodes.where("bands is not null").select("id", F.explode("bands").alias("key"))
     crowds = stored(bands.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1"), "buckets")
@@ -183,7 +189,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataF
     leaders = members.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("met", "id")).alias("leader"), F.count("*").alias("size"))
     led = join_groups(members, stored(leaders, "leaders"), "key", "size", total)
     pairs = led.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("crowd").alias("crowd"))
-    sets = stored(_sets(_texts(docs, members.select("id").distinct())), "shingle-sets")
+    sets = stored(_sets(_texts(docs, nodes.select("id", "first").join(members.select("id").distinct(), "id", "left_semi"))), "shingle-sets")
     links = stored(_verified(pairs, sets, least), "links")
     of = stored(components(links), "first-components")
     # Buckets of three or more that still hold several components
@@ -237,35 +243,54 @@ def _across(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return _verified(pairs.join(crowd, "a"), sets, least)
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Classes of documents that are alike, directly or through others, of docs(doc_id, text).
+def _classified(docs: DataFrame, least: float) -> DataFrame:
+    """near_duplicates with the digest of each row's text.
 
-    Returns one row per row: doc_id, class_id (the smallest doc_id of the class), class_size (rows), kept (doc_id is
-    class_id), n_shingles.  Texts of equal words (case and white space aside) are always of one class; so are all texts
-    without words, null ones too.  Texts of fewer than five words are alike only if equal.  Repeated rows share all
-    values.  A row with a null doc_id stands alone, with a null class, and is kept.  An empty table gives no rows.
+    Nodes are texts, not doc_ids: rows that share an id but not a text may be of different classes.
     """
     rows = stored(signed(docs), "signed")
     named = rows.where("doc_id is not null")
-    groups = named.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("bands").alias("bands"))
-    groups = stored(groups, "contents")
+    groups = named.groupBy("content").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    groups = stored(groups.withColumn("id", F.monotonically_increasing_id()), "contents")
     total = rows.count()
-    classes = components(near_links(docs, groups.select("id", "bands"), least))
-    of = groups.select("content", "id", "size").join(classes, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), "size")
-    sizes = of.groupBy("class_id").agg(F.sum("size").alias("class_size"))
-    of = stored(of.withColumnRenamed("size", "copies"), "content-classes")
-    of = join_groups(of, stored(sizes, "class-sizes"), "class_id", "class_size", total)
-    of = stored(of.where("class_size > 1").select("content", "class_id", "class_size", "copies"), "classes")
-    out = join_groups(named.select("doc_id", "content", "n"), of, "content", "copies", total)
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.coalesce("class_id", "doc_id") == F.col("doc_id")).alias("kept"), F.col("n").alias("n_shingles"))
-    alone = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("n").alias("n_shingles"))
+    classes = components(near_links(docs, groups.select("id", "first", "bands"), least))
+    of = groups.select("content", "first", "id", "size").join(classes, "id", "left").select("content", "first", F.coalesce("component", "id").alias("class"), "size")
+    sizes = of.groupBy("class").agg(F.sum("size").alias("class_size"), F.min("first").alias("best"))
+    of = stored(of.select("content", "class", F.col("size").alias("copies")), "content-classes")
+    of = join_groups(of, stored(sizes, "class-sizes"), "class", "class_size", total)
+    of = stored(of.where("class_size > 1").select("content", "best", "class_size", "copies"), "classes")
+    out = join_groups(named.select("doc_id", "digest", "content", "n"), of, "content", "copies", total)
+    mine = (F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.digest") == F.col("digest"))
+    out = out.select("doc_id", F.coalesce("best.doc_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(mine, F.lit(True)).alias("kept"), F.col("n").alias("n_shingles"), "digest")
+    alone = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("n").alias("n_shingles"), "digest")
     return out.unionByName(alone)
 
 
+def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Classes of documents that are alike, directly or through others, of docs(doc_id, text).
+
+    Returns one row per row: doc_id, class_id (the smallest doc_id of the class), class_size (rows), kept (doc_id is
+    class_id; of different texts of that id in the class, one is kept), n_shingles.  Texts of equal words (case and
+    white space aside) are always of one class; so are all texts without words, null ones too.  Texts of fewer than five
+    words are alike only if equal.  Repeated rows share all values; rows that share a doc_id but not a text may be of
+    different classes.  A row with a null doc_id stands alone, with a null class, and is kept.  An empty table gives no
+    rows.
+    """
+    return _classified(docs, least).drop("digest")
+
+
 def without_near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs whose document is the one that its class keeps; all columns of docs, repeated rows once."""
-    found = stored(near_duplicates(docs, least), "near")
-    dropped = found.where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
-    repeated = found.where("kept and class_size > 1").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The rows of docs whose document is the one that its class keeps; all columns of docs, repeated rows once.
+
+    Rows are one only if both doc_id and text are equal.  Every row with a null doc_id stays.
+    """
+    found = stored(_classified(docs, least), "near").where("doc_id is not null")
+    dropped = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).distinct()
+    nameless, named = docs.where(docs["doc_id"].isNull()), docs.where(docs["doc_id"].isNotNull()).withColumn("_digest", text_digest("text"))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_digest") == F.col("_of"))
+    kept = named.join(dropped, same, "left_anti")
+    repeated = found.where("kept and class_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).count().where("count > 1").drop("count")
+    repeated = stored(repeated, "repeated")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
+    return kept.drop("_digest").unionByName(nameless)

@@ -117,3 +117,18 @@ def test_odd_rows(spark):
     assert out == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "3", True), ("None", "None", True), ("None", "None", True)]
     assert sorted(str(x.doc_id) for x in N.without_near_duplicates(docs).collect()) in (["1", "3", "None"], ["1", "3", "None", "None"])
     assert N.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Repeated rows beside rows without an id, and one id with texts of different classes."""
+    r = random.Random(5)
+    x, y, z, u, v = (" ".join(f"{c}{r.randrange(300)}" for _ in range(80)) for c in "xyzuv")
+    rows = [(1, x), (1, x), (None, "p q r s t u"), (None, "another text"), (None, None), (None, None)]  # repeated, and nameless
+    rows += [(2, y), (3, y + " more"), (3, z), (2, u), (4, v), (4, v + " end"), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(i.doc_id, i.class_id, i.class_size, i.kept) for i in N.near_duplicates(docs.where("doc_id < 4")).collect()}
+    assert out == {(1, 1, 2, True), (2, 2, 2, True), (3, 2, 2, False), (3, 3, 1, True), (2, 2, 1, True)}
+    got = [(i.doc_id, i.text) for i in N.without_near_duplicates(docs).collect()]
+    assert sorted(t or "" for i, t in got if i is None) == ["", "", "another text", "p q r s t u"]
+    assert sorted((i, t) for i, t in got if i is not None and i < 4) == sorted([(1, x), (2, y), (2, u), (3, z)])
+    assert [i for i, _ in got].count(4) == [i for i, _ in got].count(5) == 1
