@@ -11,9 +11,14 @@ from readloom.llm.queries import PIECES, WORD_BPE
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: texts that are null or without a letter.  lang stays as it is given."""
+    """Texts that are null or without a letter go, whatever is known of languages.
+
+    lang stays where it is given; where it is null, it becomes the predicted one, if any language was learned.
+    """
     model = langid.train(docs, PIECES)
-    return langid.predict(docs, PIECES, model, ("_lang", "_score")).where("_lang <> 'und'").select(*docs.columns)
+    found = langid.predict(langid.lettered(docs), PIECES, model, ("_lang", "_score"))
+    lang = F.coalesce("lang", F.when(F.col("_lang") != "und", F.col("_lang")))
+    return found.withColumn("lang", lang).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

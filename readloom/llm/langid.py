@@ -31,6 +31,7 @@ SLOTS = 18
 UNKNOWN, ADDED = 1e-7, 1e-3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 letters_of = regex.compile(r"\p{L}+").findall
+has_letter = regex.compile(r"\p{L}").search
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
@@ -233,6 +234,17 @@ def train(docs: DataFrame, path: str, rounds: int = 2) -> tuple[list[str], np.nd
     return langs, prob, prior
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a letter, by the same rule as words()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([has_letter(t or "") is not None for t in b.column("text").to_pylist()], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs(text, ...) with two more columns, called by `names`: the likeliest language and its posterior probability.
 

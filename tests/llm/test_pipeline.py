@@ -57,3 +57,15 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_without_known_languages(spark):
+    """Whether a text stays depends on its letters, not on what languages are known."""
+    texts = ["some words here", None, "", "12 !!", "ein Satz", "½ ², 3", "Ж"]
+    kept = [0, 4, 6]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    for known in (None, "en"):
+        rows = [(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)] + [(9, "some words here", known, "s", 15)]
+        out = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, shape), "").collect()
+        assert sorted(x.doc_id for x in out) == [*kept, 9]
+        assert {x.lang for x in out} == {known}
