@@ -5,6 +5,10 @@ whose arrivals fall on random registers; a register keeps the shingle that arriv
 register with the probability of their probability Jaccard coefficient.  A shingle's process ends as soon as it is
 later than all registers.  Registers are hashed in bands; documents that share a band are candidates.
 
+A link is defined by the shingle sets, and uneven counts can make the probability Jaccard much lower than the sets'.  So
+each document has the bands of a second signature too, of weight 1 for each shingle, whose probability Jaccard is the
+sets' own.  Where no shingle comes twice both are the same.
+
 Texts of equal words are one node from the start.  In each bucket every member is compared with one leader, so work
 grows with the bucket and not with its square.  Where a bucket still holds
 several components afterwards, its members are compared across components by an exact prefix filter on their rarest
@@ -108,6 +112,18 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def document_bands(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int) -> list[np.ndarray]:
+    """Each document's distinct bands, of the signature of its shingle set and, if counts differ from 1, of the weighted one."""
+    out = list(band_keys(prob_min_hash(doc, h, np.ones(len(h)), n_docs)))
+    uneven = np.unique(doc[count > 1])
+    if len(uneven):
+        mine = np.isin(doc, uneven)
+        weighted = band_keys(prob_min_hash(np.searchsorted(uneven, doc[mine]), h[mine], 1 + np.log(count[mine]), len(uneven)))
+        for i, keys in zip(uneven.tolist(), weighted, strict=True):
+            out[i] = np.union1d(out[i], keys)
+    return out
+
+
 def split_words(text: str) -> list[str]:
     return text.lower().split()
 
@@ -125,7 +141,7 @@ def signed(docs: DataFrame) -> DataFrame:
             texts = [split_words(t) for t in b.column(2).to_pylist()]
             content = [hashlib.blake2b(" ".join(t).encode(), digest_size=16).digest() for t in texts]
             doc, h, count = shingles(texts)
-            bands = band_keys(prob_min_hash(doc, h, 1 + np.log(count), len(texts)))
+            bands = document_bands(doc, h, count, len(texts))
             n = np.bincount(doc, minlength=len(texts))
             some = [x if k else None for x, k in zip(bands, n, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary()), pa.array(n, pa.int64()), pa.array(some, pa.list_(pa.int64()))], ["doc_id", "digest", "content", "n", "bands"])

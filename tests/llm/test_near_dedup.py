@@ -132,3 +132,18 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     assert sorted(t or "" for i, t in got if i is None) == ["", "", "another text", "p q r s t u"]
     assert sorted((i, t) for i, t in got if i is not None and i < 4) == sorted([(1, x), (2, y), (2, u), (3, z)])
     assert [i for i, _ in got].count(4) == [i for i, _ in got].count(5) == 1
+
+
+def test_repeated_lines_lose_no_pair():
+    """Copies with a line that comes very often: the sets' Jaccard is 0.8 or more, the weighted one is far lower."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = " ".join(f"w{r.randrange(5000)}" for _ in range(100))
+        line = " ".join(f"w{r.randrange(5000)}" for _ in range(16))
+        texts += [base, base + (" " + line) * 100]
+    doc, h, count = N.shingles([N.split_words(t) for t in texts])
+    bands = N.document_bands(doc, h, count, len(texts))
+    for a, b, x, y in zip(bands[::2], bands[1::2], texts[::2], texts[1::2], strict=True):
+        assert len(sh(x) & sh(y)) >= 0.8 * len(sh(x) | sh(y))
+        assert len(np.intersect1d(a, b)) and len(a) == 24 < len(b)
