@@ -1,11 +1,11 @@
 """Best-fit packing of documents into token sequences by bin completion.
 
 What decides a packing is how many pieces there are of each length, so the corpus is reduced, by Spark, to at most
-`capacity` counts, whatever its size.  Bin completion runs on these counts: around the largest piece left, fillings of
-the rest of a sequence are enumerated (one piece, two, three and more), those dominated by another are left out, those
-that waste more than the best known one are pruned, and the best-fit filling is the incumbent to beat.  A filling is
-used as often as its counts allow, so the work depends on the number of lengths, not of documents.  Spark then numbers
-the pieces of each length and each looks up the sequence that has its number.
+`capacity` counts, whatever its size.  A first plan fills a sequence around the largest piece left so that it wastes
+least, and uses that filling as often as its counts allow, so the work depends on the number of lengths, not of
+documents.  While the plan has more sequences than the lower bound, bin completion searches over (filling, times) on the
+counts: around the largest piece, undominated fillings in the order of their waste, pruned by the waste that the
+sequences to beat leave.  Spark then numbers the pieces of each length and each looks up the sequence that has its number.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from readloom.llm.common import small_batches, stored, texts_of
 CAPACITY = 4096
 #: Partial fillings looked at for one sequence, and branches of the search for the last sequences.
 FILLINGS, BRANCHES = 400, 20_000
+#: Steps of the search over whole plans for one number of sequences; beyond, it is open whether such a plan exists.
+STEPS = 60_000
 MOST_WORDS = 200_000
 
 
@@ -141,8 +143,8 @@ def _completion(count: np.ndarray, room: int) -> tuple[int, ...]:
     """The filling of `room` that wastes least; of equals, the one of fewest and largest pieces.
 
     A single piece that fills the room dominates all other fillings, so it is taken at sight.  Fillings of two pieces
-    are all looked at together.  Beyond, pieces are placed from the largest on and the rest is filled by one or two;
-    a branch whose pieces can't beat the incumbent's waste is pruned.
+    are all looked at together.  Beyond, pieces are placed from the largest on and the rest is filled by one or two,
+    until nothing is wasted or FILLINGS are seen.
     """
     if room <= 0:
         return ()
@@ -255,6 +257,172 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return len(a) >= len(b) and all(x >= y for x, y in zip(sorted(a, reverse=True), sorted(b, reverse=True)))
 
 
+class _Search:
+    """Plans of at most `goal` sequences for count[length] pieces, by bin completion over (filling, times).
+
+    All sequences of the largest length left are decided first, in the order of their fillings' waste.  A filling to
+    which a piece left can be added, or in which one can be replaced by a larger one left, is dominated: exchanging the
+    pieces makes no plan worse.  A branch ends where more is wasted than `goal` sequences have room for.  The k-th choice
+    counts as k - 1 discrepancies; plans with few of them are searched first.
+    """
+
+    def __init__(self, count: np.ndarray, capacity: int):
+        self.count, self.capacity = [int(n) for n in count], capacity
+        self.lengths = [s for s in range(len(count) - 1, 0, -1) if count[s]]
+        self.tokens = sum(s * self.count[s] for s in self.lengths)
+        # below[i]: bits of the sums that lengths[i:] can make, however many there are
+        mask, sums = (1 << capacity + 1) - 1, 1
+        self.below = [1]
+        for s in reversed(self.lengths):
+            by = s
+            while by <= capacity:
+                sums |= sums << by & mask
+                by *= 2
+            self.below.append(sums)
+        self.below.reverse()
+        self.steps = 0
+
+    def _exact(self, room: int, i: int) -> Iterator[tuple[int, ...]]:
+        """Ways to fill `room` wholly with pieces of lengths[i:], the largest first."""
+        taken: list[int] = []
+        todo = [i]
+        while todo and self.steps < STEPS:
+            self.steps += 1
+            if not room:
+                yield tuple(self.lengths[k] for k in taken)
+            k = todo[-1] if room else len(self.lengths)
+            while k < len(self.lengths) and (self.lengths[k] > room or self.count[self.lengths[k]] <= taken.count(k)):
+                k += 1
+            if k < len(self.lengths) and self.below[k] >> room & 1:
+                todo[-1] = k + 1
+                taken.append(k)
+                todo.append(k)
+                room -= self.lengths[k]
+            else:
+                todo.pop()
+                if taken:
+                    room += self.lengths[taken.pop()]
+
+    def _dominated(self, filling: tuple[int, ...], waste: int) -> bool:
+        if not waste:
+            return False
+        self.steps += len(self.lengths) // 10
+        free = [s for s in self.lengths if self.count[s] > filling.count(s)]
+        return any(s <= waste for s in free) or any(x < s <= x + waste for x in set(filling) for s in free)
+
+    def _choices(self, top: int, spare: int, after: tuple) -> Iterator[tuple[tuple[int, ...], int, tuple]]:
+        """(filling, times, key) around lengths[top]: each filling as often as can be, then also fewer times."""
+        size, fewer = self.lengths[top], []
+        room = self.capacity - size
+        self.count[size] -= 1
+        listed = []
+        for waste in range(min(spare, room) + 1):
+            if not self.below[top] >> room - waste & 1:
+                continue
+            for rest in self._exact(room - waste, top):
+                key = (waste, tuple(-x for x in rest))
+                if key >= after and not self._dominated(rest, waste):
+                    self.count[size] += 1
+                    filling = (size, *rest)
+                    most = min(self.count[s] // filling.count(s) for s in set(filling))
+                    if waste:
+                        most = min(most, spare // waste)
+                    if most:
+                        yield filling, most, key
+                    listed.append((filling, key))
+                    fewer.append(self._fewer(most))
+                    for (f, k), times in zip(listed, fewer, strict=True):
+                        if (t := next(times, 0)):
+                            yield f, t, k
+                    self.count[size] -= 1
+        self.count[size] += 1
+        while fewer:
+            left = [(f, k, times, t) for (f, k), times in zip(listed, fewer, strict=True) if (t := next(times, 0))]
+            for f, k, _, t in left:
+                yield f, t, k
+            listed, fewer = [(f, k) for f, k, _, _ in left], [times for _, _, times, _ in left]
+
+    @staticmethod
+    def _fewer(most: int) -> Iterator[int]:
+        """1 to most - 1, the middle first, then the middles of the halves."""
+        spans = [(1, most - 1)]
+        for low, high in spans:
+            if low <= high:
+                yield (middle := (low + high) // 2)
+                spans += [(low, middle - 1), (middle + 1, high)]
+
+    def plan(self, goal: int) -> list[tuple[tuple[int, ...], int]] | None:
+        spare = goal * self.capacity - self.tokens
+        if spare < 0:
+            return None
+        self.steps = 0
+        most = 0
+        while self.steps < STEPS:
+            found, cut = self._within(spare, most)
+            if found is not None or not cut:
+                return found
+            most = most + 1 if most < 4 else most * 2
+        return None
+
+    def _within(self, spare: int, most: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, bool]:
+        """A plan with at most that many discrepancies; whether any choice was left out for them."""
+        plan: list[tuple[tuple[int, ...], int, int]] = []
+        given, levels, cut, used, top, after = list(self.count), [], False, 0, 0, ()
+        while True:
+            while top < len(self.lengths) and not self.count[self.lengths[top]]:
+                top, after = top + 1, ()
+            if top == len(self.lengths):
+                for choices, *_ in levels:
+                    choices.close()
+                self.count = given
+                return [(f, t) for f, t, _ in plan], cut
+            levels.append([self._choices(top, spare, after), top, used, 0])
+            while levels:
+                choices, top, used, tried = levels[-1]
+                if len(plan) == len(levels):  # the choice made here has failed
+                    filling, times, waste = plan.pop()
+                    spare += waste
+                    for s in filling:
+                        self.count[s] += times
+                self.steps += 1
+                if self.steps >= STEPS:
+                    chosen = None
+                elif used + tried > most:
+                    chosen, cut = None, True
+                else:
+                    chosen = next(choices, None)
+                if chosen is None:
+                    choices.close()
+                    levels.pop()
+                    continue
+                filling, times, after = chosen
+                levels[-1][3] += 1
+                used += tried
+                waste = times * (self.capacity - sum(filling))
+                spare -= waste
+                for s in filling:
+                    self.count[s] -= times
+                plan.append((filling, times, waste))
+                break
+            else:
+                self.count = given
+                return None, cut
+
+
+def _fewest(plan: list[tuple[tuple[int, ...], int]], count: np.ndarray, bound: int, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan, or one of fewer sequences if the search finds any."""
+    search, low = _Search(count, capacity), bound
+    goal = low
+    while low < (total := sum(t for _, t in plan)):
+        better = search.plan(goal)
+        if better is not None:
+            plan = better
+        else:
+            low = goal + 1
+        goal = (low + min(total, sum(t for _, t in plan))) // 2
+    return plan
+
+
 def pack_counts(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many sequences are filled so) for count[length] pieces of each length."""
     given, bound = np.asarray(count, np.int64), least_sequences(np.asarray(count, np.int64), capacity)
@@ -285,6 +453,7 @@ def pack_counts(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple
                     keep[k] = (keep[k][0], keep[k][1] - 1)
                 out = [x for x in keep if x[1]] + [(f, 1) for f in better]
                 break
+        out = _fewest(out, given, bound, capacity)
     return out
 
 

@@ -104,3 +104,35 @@ def test_operator(spark):
     for x in K.numbered(K.pieces(docs, PATH, 256), len(out), 3).collect():
         by_length[x.length].append(x.number)
     assert all(sorted(v) == list(range(len(v))) for v in by_length.values())
+
+
+def test_repeated_perfect_patterns():
+    """Counts that fill every sequence wholly, where the least waste around the largest piece is the wrong choice."""
+    for patterns, capacity, n in (([(19, 11, 10), (14, 13, 13), (18, 14, 8)], 40, 100), ([(19, 11, 10), (14, 13, 13), (18, 14, 8)], 40, 5000), ([(9, 6, 5), (8, 7, 5), (10, 6, 4)], 20, 30)):
+        count = np.bincount([s for p in patterns for s in p], minlength=capacity + 1) * n
+        plan = K.pack_counts(count, capacity)
+        used = sum(np.bincount(f, minlength=capacity + 1) * t for f, t in plan)
+        assert used.tolist() == count.tolist() and all(sum(f) <= capacity for f, _ in plan)
+        assert sum(t for _, t in plan) == len(patterns) * n
+
+
+def test_search_against_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        count = np.zeros(13, np.int64)
+        for s in r.integers(2, 10, 9):
+            count[s] += 1
+
+        def least(sizes, bins, best):
+            if len(bins) >= best or not sizes:
+                return min(best, len(bins))
+            for i in range(len(bins)):
+                if bins[i] >= sizes[0] and bins[i] not in bins[:i]:
+                    best = least(sizes[1:], [*bins[:i], bins[i] - sizes[0], *bins[i + 1 :]], best)
+            return least(sizes[1:], [*bins, 12 - sizes[0]], best)
+
+        want = least(sorted((s for s in range(13) for _ in range(count[s])), reverse=True), [], 99)
+        assert K._Search(count, 12).plan(want - 1) is None
+        plan = K._Search(count, 12).plan(want)
+        assert plan is not None and sum(t for _, t in plan) == want
+        assert sum(np.bincount(f, minlength=13) * t for f, t in plan).tolist() == count.tolist()
