@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import join_groups, small_batches, stored, texts_of
+from readloom.llm.common import fresh, join_groups, small_batches, stored, texts_of
 
 LEAST, MOST, MEAN_BITS, WINDOW, SLAB = 1024, 16384, 12, 32, 1 << 20
 
@@ -144,8 +144,9 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     Repeated rows (same doc_id, same text) are reduced to one.  Only ids move to find what goes.
     """
     found = stored(exact_duplicates(docs), "exact")
-    dropped = found.where("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_dropped")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_sha"))
+    gone, sha = fresh(docs, "dropped", "sha")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(gone)) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col(sha))
     kept = docs.join(dropped, same, "left_anti")
     repeated = found.where("kept and group_size > 1").groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

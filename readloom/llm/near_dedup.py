@@ -10,9 +10,9 @@ each document has the bands of a second signature too, of weight 1 for each shin
 sets' own.  Where no shingle comes twice both are the same.
 
 Texts of equal words are one node from the start.  In each bucket every member is compared with one leader, so work
-grows with the bucket and not with its square.  Where a bucket still holds
-several components afterwards, its members are compared across components by an exact prefix filter on their rarest
-shingles, so no link is lost to the star shape.  A link is a Jaccard coefficient of 0.8 or more of the shingle sets.
+grows with the bucket and not with its square.  Where members of one
+leader are of several components afterwards, they are compared across components by an exact filter on how each differs
+from the leader, so no link is lost to the star shape.  A link is a Jaccard coefficient of 0.8 or more of the shingle sets.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import join_groups, small_batches, stored, texts_of
+from readloom.llm.common import fresh, join_groups, small_batches, stored, texts_of
 from readloom.llm.components import components
 
 WORDS, LEAST = 5, 0.8
@@ -163,8 +163,8 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs(a, b, crowd) of which the shingle sets have a Jaccard coefficient of `least` or more.
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and their packed sets x, y for pairs(a, b, crowd).
 
     `crowd` bounds how many pairs may share a: a's set is copied once per SHARE of them, and each pair picks a copy, so
     that no task gets all pairs of a leader.
@@ -172,7 +172,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(0), F.floor(F.col("crowd") / SHARE).cast("int")))
     left = pairs.groupBy("a").agg(F.max("crowd").alias("crowd")).join(sets.withColumnRenamed("id", "a"), "a").select("a", F.col("set").alias("x"), copies.alias("copy"))
     right = pairs.withColumn("copy", F.pmod(F.xxhash64("b"), (F.floor(F.col("crowd") / SHARE) + 1)).cast("int"))
-    both = right.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(left, ["a", "copy"])
+    return right.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(left, ["a", "copy"]).select("a", "b", "x", "y")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs(a, b, crowd) of which the shingle sets have a Jaccard coefficient of `least` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +188,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _met(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b, crowd) with `like` (a Jaccard coefficient of `least` or more), n (shingles of b), and how the sets
+    differ: `lacks`, the shingles of a that b hasn't, and `adds`, those of b that a hasn't."""
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # differences may be long
+                b = batch.slice(at, 64)
+                like, n, lacks, adds = [], [], [], []
+                for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                    p, q = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+                    only, more = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+                    same = len(q) - len(more)
+                    like.append(same > 0 and same >= least * (len(p) + len(more)))
+                    n.append(len(q))
+                    lacks.append(only)
+                    adds.append(more)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v, k) for v, k in zip((like, n, lacks, adds), kinds[2:], strict=True))], ["a", "b", "like", "n", "lacks", "adds"])
+
+    return _met(pairs, sets).mapInArrow(run, "a long, b long, like boolean, n long, lacks array<long>, adds array<long>")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,55 +233,51 @@ def near_links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataF
     led = join_groups(members, stored(leaders, "leaders"), "key", "size", total)
     pairs = led.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("crowd").alias("crowd"))
     sets = stored(_sets(_texts(docs, nodes.select("id", "first").join(members.select("id").distinct(), "id", "left_semi"))), "shingle-sets")
-    links = stored(_verified(pairs, sets, least), "links")
-    of = stored(components(links), "first-components")
-    # Buckets of three or more that still hold several components
-    seen = members.where("crowd > 2").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = seen.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = stored(seen.join(mixed, "key", "left_semi").select("id", "component").distinct(), "mixed-members")
-    if rest.isEmpty():
-        return links
-    return links.unionByName(_across(rest, sets, least))
-
-
-def _across(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links between rest(id, component) of different components, by exact filters alone.
-
-    Let two sets of n and m shingles, m <= n, be alike.  They share at least q (n + m), q = least / (1 + least).  So each
-    has as many shingles that occur twice or more at all: with s such of n, m is at most s / q - n, and t of m are at
-    least q (n + m).  And they share one of the rarest n - ceil(least n) + 1 shingles of each.  Copies of one source
-    that were edited so much that they are unlike have too few shared shingles, so a group of them makes no pairs.
-    Sets meet on a shingle and on a step of the size of the smaller set.
-    """
+    met = stored(_compared(pairs, sets, least), "compared")
+    links = met.where("like").select("a", "b")
+    return links.unionByName(_across(met, components(links), sets, least))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.frombuffer(x.as_py(), np.int64) for x in b.column("set")]
-            n = np.array([len(p) for p in parts], np.int64)
-            ids, component = b.column("id").to_numpy(), b.column("component").to_numpy()
-            h = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(component, n)), pa.array(np.repeat(n, n)), pa.array(h)], ["id", "component", "n", "shingle"])
-
-    rows = stored(rest.join(sets, "id").select("id", "component", "set").mapInArrow(run, "id long, component long, n long, shingle long"), "mixed-shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("df > 1")
-    shared = join_groups(rows, stored(often, "shingle-counts"), "shingle", "df", max(1, rows.count()))
-    by_id = Window.partitionBy("id")
-    q, eps = least / (1 + least), 1e-9
-    ranked = shared.select("id", "component", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"), (F.col("low") != F.col("high")).alias("mixed"))
-    ranked = ranked.withColumn("rank", F.row_number().over(by_id.orderBy("df", "shingle"))).withColumn("s", F.count(F.when(F.col("df") > 1, 1)).over(by_id))
-    prefix = ranked.where("mixed").where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (least - eps)) + 1)
-    prefix = stored(prefix.select("id", "component", "n", "s", "shingle"), "mixed-prefixes")
-
-    def step(size):
-        return F.floor(F.log(size.cast("double")) / float(np.log(1.02)))
-
-    most = F.least(F.col("n").cast("double"), F.col("s") / q - F.col("n") + eps)
-    large = prefix.withColumn("most", most).where(F.col("most") >= F.col("n") * (least - eps))
-    large = large.select(F.col("id").alias("a"), "component", "n", "s", "shingle", F.explode(F.sequence(step(F.col("n") * (least - eps)), step(F.col("most")))).alias("step"))
-    small = prefix.where(F.col("s") >= F.col("n") * (2 * q - eps)).select(F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), "shingle", step(F.col("n")).alias("step"))
-    need = F.col("component").isNotNull() & (F.col("component") != F.col("other")) & (F.col("m") <= F.col("n")) & (F.least("s", "t") >= (F.col("n") + F.col("m")) * (q - eps))
-    near = large.join(small, ["shingle", "step"]).where(need)
-    pairs = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "mixed-pairs")
+
+def _across(met: DataFrame, of: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between members of one leader that are of different components so far, by exact filters alone.
+
+    A member is written as its difference X from the leader's set: d shingles that it lacks and e that it adds, so what
+    a group of copies has in common isn't there at all.  Two members differ by the symmetric difference of X and Y, and
+    are alike only if it is at most H = (n + m) (1 - least) / (1 + least).  So X and Y share at least
+    k = (|X| + |Y| - H) / 2, and k - min(d, d') of that among what both add.  One of two members of different components
+    isn't like the leader, which makes k positive.  If k > min(d, d'), they meet on an added shingle, else on any; and on
+    one of the rarest |X| - k + 1 of each, in an order by how many members have it.  Copies that were edited each in its
+    own way share no added shingle, so a group of them makes no pairs however large it is.
+    """
+    of = of.select(F.col("id").alias("_id"), "component")
+    found = met.join(of, met["b"] == of["_id"], "left").withColumn("own", F.coalesce("component", "b")).drop("_id", "component")
+    mixed = found.groupBy("a").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).where("low <> high")
+    mixed = mixed.join(of, mixed["a"] == of["_id"], "left").select("a", F.coalesce("component", "a").alias("home"), "size")
+    mixed = stored(mixed, "mixed-leaders")
+    rows = join_groups(found, mixed, "a", "size", max(1, met.count())).where("home is not null")
+    rows = rows.select("a", F.col("b").alias("id"), "own", (F.col("own") != F.col("home")).alias("out"), "n", F.size("lacks").alias("d"), F.size("adds").alias("e"), "lacks", "adds")
+    parts = F.concat(F.transform("adds", lambda x: F.struct(F.lit(True).alias("added"), x.alias("x"))), F.transform("lacks", lambda x: F.struct(F.lit(False).alias("added"), x.alias("x"))))
+    # Rows with one key have, but for rare collisions, one leader and shingle; what a collision adds is verified away.
+    each = rows.withColumn("part", F.explode(parts)).select("a", "id", "own", "out", "n", "d", "e", "part.added", F.xxhash64("a", "part.x").alias("key"))
+    each = stored(each, "differences")
+    often = each.groupBy("key").agg(F.count("*").alias("df"), (F.min("own") != F.max("own")).alias("apart")).where("df > 1")
+    each = join_groups(each, stored(often, "difference-counts"), "key", "df", max(1, each.count())).withColumn("df", F.coalesce("df", F.lit(1)))
+    order = Window.partitionBy("a", "id").orderBy("df", "key").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("rank", F.count("*").over(order)).withColumn("rank_added", F.count(F.when(F.col("added"), 1)).over(order))
+    # A pair that needn't meet on an added shingle has e + e' <= H, which is at most n (1 - least) / least
+    some = F.col("n") * ((1 - least) / least) + 1e-6
+    may = F.col("added") | (F.col("e") <= some) & (F.col("rank") <= F.col("d") + F.col("e") - F.greatest(F.lit(1), F.ceil(F.col("d") + F.col("e") - some)) + 1)
+    each = stored(each.where("apart").where(may).select("key", "id", "own", "out", "n", "d", "e", "added", "rank", "rank_added"), "difference-prefixes")
+    left, right = each.where("out").alias("l"), each.alias("r")
+    k = f"((l.d + l.e + r.d + r.e - (l.n + r.n) * {(1 - least) / (1 + least)!r}) / 2 - 1e-6)"
+    both = f"greatest(1, ceil({k}))"
+    more = f"greatest(1, ceil({k} - least(l.d, r.d)))"
+    meet = f"""if({k} > least(l.d, r.d), l.added and l.rank_added <= l.e - {more} + 1 and r.rank_added <= r.e - {more} + 1,
+                  l.rank <= l.d + l.e - {both} + 1 and r.rank <= r.d + r.e - {both} + 1)"""
+    need = f"l.key = r.key and l.own <> r.own and (not r.out or l.id < r.id) and least(l.n, r.n) >= greatest(l.n, r.n) * {least - 1e-9!r} and {meet}"
+    near = left.join(right, F.expr(need))
+    pairs = near.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    pairs = stored(pairs, "difference-pairs")
     crowd = pairs.groupBy("a").agg(F.count("*").alias("crowd"))
     return _verified(pairs.join(crowd, "a"), sets, least)
 
@@ -301,12 +324,13 @@ def without_near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     Rows are one only if both doc_id and text are equal.  Every row with a null doc_id stays.
     """
     found = stored(_classified(docs, least), "near").where("doc_id is not null")
-    dropped = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).distinct()
-    nameless, named = docs.where(docs["doc_id"].isNull()), docs.where(docs["doc_id"].isNotNull()).withColumn("_digest", text_digest("text"))
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_digest") == F.col("_of"))
+    key, of, mine = fresh(docs, "id", "of", "digest")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(key), F.col("digest").alias(of)).distinct()
+    nameless, named = docs.where(docs["doc_id"].isNull()), docs.where(docs["doc_id"].isNotNull()).withColumn(mine, text_digest("text"))
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.col(mine) == F.col(of))
     kept = named.join(dropped, same, "left_anti")
-    repeated = found.where("kept and class_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).count().where("count > 1").drop("count")
+    repeated = found.where("kept and class_size > 1").groupBy(F.col("doc_id").alias(key), F.col("digest").alias(of)).count().where("count > 1").drop("count")
     repeated = stored(repeated, "repeated")
     if not repeated.isEmpty():
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
-    return kept.drop("_digest").unionByName(nameless)
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", mine]))
+    return kept.drop(mine).unionByName(nameless)

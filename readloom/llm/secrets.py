@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import stored, texts_of
+from readloom.llm.common import fresh, stored, texts_of
 
 
 @dataclass(frozen=True)
@@ -181,24 +181,32 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(SPAN))
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text (null: empty) and spans, all secrets of each row: (start, order, kind, stop) by start, then rule.
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text: str, spans: str) -> DataFrame:
+    """docs with two more columns: the text (null: empty) and all its spans, (start, order, kind, stop) by start, then rule.
 
-    One row per row of docs, repeated rows too; rows with one id share their postings, which only widens the search.
-    A null doc_id is an id like any other.  An empty table gives no rows.  Documents meet their candidate kinds in one
-    join on doc_id, whose keys hold one row each, so that hot sources or copies don't gather anywhere.
+    Documents meet their candidate kinds in one join on doc_id, whose keys hold one row each, so that hot sources or
+    copies don't gather anywhere.
     """
+    key, kinds = fresh(docs, "id", "kinds")
     index = stored(candidates(postings(docs, trigrams(rules)), rules), "secret-candidates")
-    index = index.select(F.col("doc_id").alias("_id"), "kinds")
-    texts = texts_of(docs)
-    joined = texts.join(index, texts["doc_id"].eqNullSafe(index["_id"]), "left").drop("_id")
+    index = index.select(F.col("doc_id").alias(key), F.col("kinds").alias(kinds))
+    joined = docs.withColumn(text, F.coalesce("text", F.lit(""))).join(index, docs["doc_id"].cast("long").eqNullSafe(index[key]), "left")
     found = []
     for i, rule in enumerate(rules):
-        spans = rule_spans(F.col("text"), rule, i)
+        one = rule_spans(F.col(text), rule, i)
         if trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("kinds", rule.kind), spans).otherwise(F.array().cast(SPAN))
-        found.append(spans)
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("spans"))
+            one = F.when(F.array_contains(kinds, rule.kind), one).otherwise(F.array().cast(SPAN))
+        found.append(one)
+    return joined.withColumn(spans, F.array_sort(F.concat(*found))).drop(key, kinds)
+
+
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, text (null: empty) and spans, all secrets of each row: (start, order, kind, stop) by start, then rule.
+
+    One row per row of docs, repeated rows too; rows with one id share their postings, which only widens the search.
+    A null doc_id is an id like any other.  An empty table gives no rows.
+    """
+    return _scanned(texts_of(docs), rules, "whole", "spans").select("doc_id", F.col("whole").alias("text"), "spans")
 
 
 def _shown(spans: Column) -> Column:
@@ -216,21 +224,19 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret replaced by mark (secrets that overlap: by one mark) and n_chars set anew.
 
-    All other columns and all rows stay.  A null text stays null.
+    All other columns and all rows stay, repeated rows too.  A null text stays null.  The clean text comes from the
+    projection that finds the spans, so texts move once at most.
     """
-    found = secret_spans(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text"]).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "spans")
+    whole, spans, clean = fresh(docs, "whole", "spans", "clean")
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        text = F.col("_text")
-        fresh = F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.when(x["start"] >= acc["at"], F.struct(x["stop"].alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate("spans", empty, step, lambda acc: F.concat(acc["out"], F.col("_text").substr(acc["at"] + 1, F.length("_text"))))
-    found = found.select("_id", F.xxhash64("_text").alias("_hash"), clean.alias("_clean"))
-    rows = docs.withColumn("_hash_of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (F.col("_hash_of") == F.col("_hash")), "left")
-    new = {"text": F.coalesce("_clean", "text")}
+        fresh_part = F.concat(acc["out"], F.col(whole).substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
+        return F.when(x["start"] >= acc["at"], F.struct(x["stop"].alias("at"), fresh_part.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), acc["out"].alias("out")))
+
+    new = F.aggregate(spans, empty, step, lambda acc: F.concat(acc["out"], F.col(whole).substr(acc["at"] + 1, F.length(whole))))
+    out = _scanned(docs, RULES, whole, spans).withColumn(clean, F.when(F.size(spans) > 0, new))
+    change = {"text": F.coalesce(clean, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_clean").isNotNull(), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        change["n_chars"] = F.when(F.col(clean).isNotNull(), F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[change[c].alias(c) if c in change else F.col(f"`{c}`") for c in docs.columns])

@@ -69,3 +69,17 @@ def test_language_stage_without_known_languages(spark):
         out = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, shape), "").collect()
         assert sorted(x.doc_id for x in out) == [*kept, 9]
         assert {x.lang for x in out} == {known}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those that the stages use within, rows without an id, repeated rows."""
+    names = ["_id", "id", "_hash", "_hash_of", "_clean", "clean", "_dropped", "dropped", "_sha", "sha", "_lang", "lang_pred", "score", "_of", "of", "digest", "_digest", "whole", "spans", "kinds", "total"]
+    rows = [(i, t, None if i == 2 else "en", "s", len(t or "")) for i, t in enumerate(["some words here", 'a token = "abcdef123456" b', None, "some words here", "x y z"])] + [(None, "some words here", "en", None, 3), (None, "p q", None, None, None)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    left = {"language id": 6, "exact dedup": 5, "near dedup": 7, "secret scan": 7}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == (left[name] if name != "near dedup" else len(got)), name
+        assert all(list(x[5:]) == list(range(len(names))) for x in got), name
+        assert name == "exact dedup" or sum(x.doc_id is None for x in got) == 2, name
