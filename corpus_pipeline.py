@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import exact_dedup, langid, near_dedup, packing, secrets
-from readloom.llm.common import documents, stored
+from readloom.llm.common import documents, fresh, stored
 from readloom.llm.queries import PIECES, WORD_BPE
 
+#: Posterior probability from which the predicted language replaces another one that is given.
+SURE = 0.999
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null or without a letter go, whatever is known of languages.
 
-    lang stays where it is given; where it is null, it becomes the predicted one, if any language was learned.
+    lang becomes the predicted language where it is null or where the model is sure (SURE) of another one.
     """
     model = langid.train(docs, PIECES)
-    found = langid.predict(langid.lettered(docs), PIECES, model, ("_lang", "_score"))
-    lang = F.coalesce("lang", F.when(F.col("_lang") != "und", F.col("_lang")))
-    return found.withColumn("lang", lang).select(*docs.columns)
+    pred, score = fresh(docs, "lang_pred", "score")
+    found = langid.predict(langid.lettered(docs), PIECES, model, (pred, score))
+    known = F.when(F.col(pred) != "und", F.col(pred))
+    lang = F.when(F.col("lang").isNull() | (F.col(score) >= SURE), F.coalesce(known, "lang")).otherwise(F.col("lang"))
+    return found.withColumn("lang", lang).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
