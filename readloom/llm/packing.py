@@ -1,17 +1,19 @@
 """Best-fit packing of documents into token sequences by bin completion.
 
 What decides a packing is how many pieces there are of each length, so the corpus is reduced, by Spark, to at most
-`capacity` counts, whatever its size.  A first plan fills a sequence around the largest piece left so that it wastes
-least, and uses that filling as often as its counts allow, so the work depends on the number of lengths, not of
-documents.  While the plan has more sequences than the lower bound, bin completion searches over (filling, times) on the
+`capacity` counts, whatever its size.  One plan fills a sequence around the largest piece left so that it wastes
+least, and uses that filling as often as its counts allow; another is best-fit decreasing.  Both depend on the number of
+lengths, not of documents.  While the better one has more sequences than the lower bound, bin completion searches over (filling, times) on the
 counts: around the largest piece, undominated fillings in the order of their waste, pruned by the waste that the
 sequences to beat leave.  Spark then numbers the pieces of each length and each looks up the sequence that has its number.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,24 +32,50 @@ STEPS = 60_000
 MOST_WORDS = 200_000
 
 
+def _usual() -> str:
+    """A pattern of characters that Python and the library surely class alike: those of Unicode 3.2's first plane."""
+    old, out, first = unicodedata.ucd_3_2_0.category, [], None
+    for c in range(0x10000):
+        kind = unicodedata.category(chr(c))
+        same = kind[0] == old(chr(c))[0] and kind not in ("Cn", "Cs", "Co")
+        if same and first is None:
+            first = c
+        elif not same and first is not None:
+            out.append(f"\\u{first:04x}-\\u{c - 1:04x}")
+            first = None
+    return "[" + "".join(out) + "]*"
+
+
 class WordEncoder:
     """ids of whole texts by a word-end BPE file of the tokenizers library.
 
-    The library normalises, splits and merges; words it has encoded once are kept, since the merges never cross them.
+    Words that were encoded once are kept, since the merges never cross them.  New ones are encoded by the library,
+    many at once, without its normaliser and splitting pattern, which they have behind them.  Texts with characters that
+    Python and the library may class differently go through the library whole.
     """
 
     #: Fixed by the file: its splitting pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.split = regex.compile(self.PATTERN).findall
+        self.usual = re.compile(_usual()).fullmatch
+        #: Tokens that the library finds in a text before all else
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else lambda text: [text]
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # The library writes each byte as a printing character: itself where it is one, else the next from 256 on.
+        printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = (b for b in range(256) if b not in printing)
+        self.shown = {b: 256 + i for i, b in enumerate(rest) if b != 32}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -56,7 +84,10 @@ class WordEncoder:
         out: list[bytes] = []
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            line = " ".join(some)
+            if not line.isascii() or not line.isprintable():
+                line = line.encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.merges.encode(line, add_special_tokens=False).ids, "<u4")
             data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) == len(some):
                 out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -66,27 +97,39 @@ class WordEncoder:
 
     def packed(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
+        if "<|" not in text:
+            return self._plain(text)
+        return b"".join(self.special.get(part) or self._plain(part) for part in self.parts(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         if not text.isascii():
+            if not self.usual(text):
+                return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases each character alone
         text, known = text.lower(), self.known
         # Python's split() takes four control characters for white space, the library doesn't.
         runs = self.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         out = list(map(known.get, runs))
         if None in out:
-            new = list(dict.fromkeys(r for r, ids in zip(runs, out, strict=True) if ids is None))
+            new = list(dict.fromkeys([r for r, ids in zip(runs, out, strict=True) if ids is None]))
+            old, split = self.older.get, self.split
             words: dict[str, bytes | None] = {}
             pieces = []
             for r in new:
-                ids = self.older.get(r)
+                ids = old(r)
                 if ids is not None:
                     known[r] = ids
+                elif r.isalpha():
+                    words[r] = None
                 else:
-                    pieces.append((r, p := [r] if r.isalpha() else self.split(r)))
+                    pieces.append((r, p := split(r)))
                     words |= dict.fromkeys(p)
-            words = dict(zip(words, self._each(list(words)), strict=True))
-            fresh = {r: b"".join(words[w] for w in p) for r, p in pieces}
+            todo = [w for w in words if w not in known]
+            words |= zip(todo, self._each(todo), strict=True)
+            have = {w: ids if ids is not None else known[w] for w, ids in words.items()}
+            fresh = have | {r: b"".join([have[w] for w in p]) for r, p in pieces}
             known |= {r: ids for r, ids in fresh.items() if len(r) < 64}
-            out = [ids if ids is not None else known.get(r) if len(r) < 64 or r in known else fresh[r] for r, ids in zip(runs, out, strict=True)]
+            out = [ids if ids is not None else known.get(r) or fresh[r] for r, ids in zip(runs, out, strict=True)]
             if len(known) > MOST_WORDS:
                 self.older, self.known = known, {}
         return b"".join(out)
@@ -266,7 +309,8 @@ class _Search:
     counts as k - 1 discrepancies; plans with few of them are searched first.
     """
 
-    def __init__(self, count: np.ndarray, capacity: int):
+    def __init__(self, count: np.ndarray, capacity: int, most_steps: int = STEPS):
+        self.most_steps = most_steps
         self.count, self.capacity = [int(n) for n in count], capacity
         self.lengths = [s for s in range(len(count) - 1, 0, -1) if count[s]]
         self.tokens = sum(s * self.count[s] for s in self.lengths)
@@ -286,7 +330,7 @@ class _Search:
         """Ways to fill `room` wholly with pieces of lengths[i:], the largest first."""
         taken: list[int] = []
         todo = [i]
-        while todo and self.steps < STEPS:
+        while todo and self.steps < self.most_steps:
             self.steps += 1
             if not room:
                 yield tuple(self.lengths[k] for k in taken)
@@ -357,7 +401,7 @@ class _Search:
             return None
         self.steps = 0
         most = 0
-        while self.steps < STEPS:
+        while self.steps < self.most_steps:
             found, cut = self._within(spare, most)
             if found is not None or not cut:
                 return found
@@ -385,7 +429,7 @@ class _Search:
                     for s in filling:
                         self.count[s] += times
                 self.steps += 1
-                if self.steps >= STEPS:
+                if self.steps >= self.most_steps:
                     chosen = None
                 elif used + tried > most:
                     chosen, cut = None, True
@@ -409,9 +453,9 @@ class _Search:
                 return None, cut
 
 
-def _fewest(plan: list[tuple[tuple[int, ...], int]], count: np.ndarray, bound: int, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def _fewest(plan: list[tuple[tuple[int, ...], int]], count: np.ndarray, bound: int, capacity: int, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """The plan, or one of fewer sequences if the search finds any."""
-    search, low = _Search(count, capacity), bound
+    search, low = _Search(count, capacity, steps), bound
     goal = low
     while low < (total := sum(t for _, t in plan)):
         better = search.plan(goal)
@@ -423,8 +467,52 @@ def _fewest(plan: list[tuple[tuple[int, ...], int]], count: np.ndarray, bound: i
     return plan
 
 
-def pack_counts(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many sequences are filled so) for count[length] pieces of each length."""
+def best_fit_decreasing(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan that puts each piece, the largest first, where it leaves least room.
+
+    Sequences of one room are kept together, so the work depends on the number of lengths: of sequences with room for k
+    pieces of a length, each takes k before the next is touched.
+    """
+    open_at: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rooms: list[int] = []
+
+    def put(filling: tuple[int, ...], room: int, times: int) -> None:
+        if room not in open_at:
+            open_at[room] = []
+            insort(rooms, room)
+        open_at[room].append((filling, times))
+
+    for size in np.flatnonzero(count[1:])[::-1] + 1:
+        size, left = int(size), int(count[size])
+        while left:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                put((), capacity, -(-left // (capacity // size)))
+                continue
+            room = rooms[at]
+            filling, times = open_at[room].pop()
+            if not open_at[room]:
+                del open_at[room], rooms[at]
+            k = room // size
+            full = min(times, left // k)
+            if full:
+                put(filling + (size,) * k, room - size * k, full)
+                left, times = left - full * k, times - full
+            if times and left and left < k:
+                put(filling + (size,) * left, room - size * left, 1)
+                left, times = 0, times - 1
+            if times:
+                put(filling, room, times)
+    return [x for some in open_at.values() for x in some if x[0]]
+
+
+def pack_counts(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many sequences are filled so) for count[length] pieces of each length.
+
+    The plan to beat is the better one of least-waste fillings and best-fit decreasing, so no plan is worse than the
+    latter.  While it has more sequences than the lower bound, bin completion looks for fewer: all undominated fillings
+    around the largest piece, pruned by waste, until `steps` are spent for a number of sequences.
+    """
     given, bound = np.asarray(count, np.int64), least_sequences(np.asarray(count, np.int64), capacity)
     count, out = given.copy(), []
     top = len(count) - 1
@@ -441,6 +529,8 @@ def pack_counts(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple
         times = int((count[used] // need[used]).min())
         count[used] -= need[used] * times
         out.append((filling, times))
+    if sum(t for _, t in out) > bound:
+        out = min(out, best_fit_decreasing(given, capacity), key=lambda plan: sum(t for _, t in plan))
     total = sum(t for _, t in out)
     if total > bound:  # take the last, emptiest sequences apart and look for a packing of theirs that is one shorter
         for n in (8, 14, 20):
@@ -453,7 +543,7 @@ def pack_counts(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple
                     keep[k] = (keep[k][0], keep[k][1] - 1)
                 out = [x for x in keep if x[1]] + [(f, 1) for f in better]
                 break
-        out = _fewest(out, given, bound, capacity)
+        out = _fewest(out, given, bound, capacity, steps)
     return out
 
 

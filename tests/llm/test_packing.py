@@ -13,12 +13,12 @@ PATH = P.path("word_bpe_49k.json")
 
 def test_encoder_equals_library():
     lib = Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     enc = K.encoder(PATH)
     r = random.Random(7)
     alphabets = ["abcdefgh THE ing.", "éÈüß ñç ΣΑΣ σς İı", "0123456789 .,'\n\t", "日本語 한국어 😀👩‍👩‍👧", "\x00\x1c\x1d\x85  　 \r\nx", "=-_#*&$% 's 'll!'", "é Å ½²Ⅷ"]
-    texts = ["", "<|endoftext|> x", "it's they'll !'s", "x" * 500, "ΑΣ ΑΣ. ς"] + ["".join(r.choice(r.choice(alphabets)) for _ in range(r.randint(1, 60))) for _ in range(600)]
+    texts = ["", "<|endoftext|> x", "a <|endoftext|> b<|startoftext|><|EndOfText|>É<|endoftext|>e\u0301 <|", "\u208f +", "a\u0378b", "\U0001fbf0", "\x00\x01 \x7f", "it's they'll !'s", "x" * 500, "ΑΣ ΑΣ. ς"] + ["".join(r.choice(r.choice(alphabets)) for _ in range(r.randint(1, 60))) for _ in range(600)]
     texts += ["".join(r.choice(a) for _ in range(r.randint(1, 80))) for a in alphabets for _ in range(60)]
+    texts += ["".join(chr(r.choice([r.randrange(0x300), r.randrange(0x3000), r.randrange(0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(r.randint(1, 30))) for _ in range(3000)]
     for t in texts:
         assert np.frombuffer(enc.packed(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -136,3 +136,30 @@ def test_search_against_brute_force():
         plan = K._Search(count, 12).plan(want)
         assert plan is not None and sum(t for _, t in plan) == want
         assert sum(np.bincount(f, minlength=13) * t for f, t in plan).tolist() == count.tolist()
+
+
+def plain_best_fit(sizes, capacity):
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fits = [b for b in range(len(bins)) if bins[b] >= s]
+        if fits:
+            bins[min(fits, key=lambda b: bins[b])] -= s
+        else:
+            bins.append(capacity - s)
+    return len(bins)
+
+
+def test_never_worse_than_best_fit_decreasing():
+    r = random.Random(6)
+    for i in range(1000):
+        capacity = r.choice([20, 40, 100])
+        low, high = r.choice([(1, capacity), (capacity // 5, capacity // 2), (1, capacity // 3)])
+        sizes = [r.randint(max(1, low), high) for _ in range(r.randint(1, 90))] * r.choice([1, 1, 3])
+        count = np.bincount(sizes, minlength=capacity + 1)
+        want = plain_best_fit(sizes, capacity)
+        plan = K.best_fit_decreasing(count, capacity)
+        assert sum(t for _, t in plan) == want
+        used = sum(np.bincount(f, minlength=capacity + 1) * t for f, t in plan)
+        assert used.tolist() == count.tolist() and all(sum(f) <= capacity for f, _ in plan)
+        if i % 10 == 0:
+            assert K.least_sequences(count, capacity) <= sum(t for _, t in K.pack_counts(count, capacity, 300)) <= want
