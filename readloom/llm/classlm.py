@@ -1,10 +1,15 @@
 """Language-model scores by classes of words: a class follows a class, and emits a word.
 
-Words are lower-cased runs without white space, and every text ends with an end token.  A word's unit is the word
-itself for the most frequent ones and its last letters for all others, words never seen included.  Units are assigned
-to classes by exchange: every round, each unit moves to the class where the class bigrams of the corpus become most
-likely.  Counts are taken over all training texts, by Spark; the number of units is a bound, so that the table of unit
-bigrams and the work of a round depend on that bound, not on the corpus.
+Words are lower-cased runs without white space, and every text ends with an end token.  Classes come from exchange: a
+word is put where the class bigrams of the corpus become most likely.
+
+1. The START most frequent words exchange classes among themselves, on the driver, from the table of their bigrams, whose
+   size is bounded by START alone.
+2. The other words of the HELD most frequent are put, by Spark, where their neighbours of step 1 make them likeliest.
+3. All other words of the corpus are put, by Spark, where their held neighbours make them likeliest.  There may be any
+   number of them, so they stay a table: their counts and classes meet the texts in joins.
+
+So every word of the training texts has a class by exchange, and all counts are taken over all training texts.
 
     log P(text) = sum over tokens of log P(class | class before) + log P(token | class)
 """
@@ -12,10 +17,10 @@ bigrams and the work of a round depend on that bound, not on the corpus.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,53 +29,84 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import crc_mod, small_batches, stored, texts_of
 
-END = "\n"  # can't be a word
-#: Words and endings that are units, classes, rounds of exchange, words whose counts every task holds.
-UNITS, ENDINGS, CLASSES, ROUNDS, HELD = 2000, 500, 48, 6, 50_000
+END = b"\n"  # can't be a word
+#: Words that exchange classes on the driver, words that every task holds, classes, rounds of exchange on the driver.
+START, HELD, CLASSES, ROUNDS = 1000, 200_000, 48, 6
 #: Weight of a class's own frequency against its frequency after the class before.
 ALONE = 0.15
-FLUSH = 250_000
-words_of = re.compile("[^\\x20\\x09-\\x0D]+").findall
+FLUSH = 400_000
+#: Words placed at a time.
+BLOCK = 4000
 
 
-def tokens(text: str) -> list[str]:
-    return [*words_of(text.encode().lower().decode()), END]  # bytes.lower() lowers A to Z alone
+def tokens(text: str) -> list[bytes]:
+    """bytes.lower() lowers A to Z alone, and bytes.split() cuts at space and the controls 9 to 13."""
+    return [*text.encode().lower().split(), END]
 
 
-def ending(word: str) -> str:
-    """The unit of a word that isn't one itself: its last two letters, or its last sign if it has no letter."""
-    letters = word.rstrip(".,;:!?")
-    tail = letters[-2:] if letters[-1:].isalpha() else word[-1:]
-    return "\t" + tail + ("." if letters != word else "")
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The tokens of many texts in a row, after an end token: each text begins after the end of the one before."""
+    for b in batches:
+        out = [END]
+        for text in b.column("text").to_pylist():
+            out += text.lower().split()
+            out.append(END)
+        yield out
 
 
-def _partial(docs: DataFrame, count, schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """Counts of what `count` adds to a Counter for each text, aggregated in each task before they move."""
+def _bytes(texts: DataFrame, *others: str) -> DataFrame:
+    small_batches(texts.sparkSession)
+    return texts.select(*others, F.col("text").cast("binary").alias("text"))
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """token, n: counts of all tokens, put together in each task before they move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            rows = list(zip(*counts, strict=True)) if len(kinds) > 2 else [list(counts)]
-            out = pa.RecordBatch.from_arrays([*(pa.array(r, k) for r, k in zip(rows, kinds, strict=False)), pa.array(list(counts.values()), kinds[-1])], [x.split()[0] for x in schema.split(", ")])
+            out = pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64())], ["token", "n"])
             counts.clear()
             return out
 
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                count(counts, text)
-                if len(counts) > FLUSH:
-                    yield flush()
+        for stream in _streams(batches):
+            counts.update(stream[1:])
+            if len(counts) > FLUSH:
+                yield flush()
         if counts:
             yield flush()
 
-    small_batches(docs.sparkSession)
-    keys = [x.split()[0] for x in schema.split(", ")][:-1]
-    return docs.select("text").mapInArrow(run, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return _bytes(texts).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    return _partial(texts, lambda counts, text: counts.update(tokens(text)), "token string, n long", [pa.string(), pa.int64()])
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent tokens and their counts, the end token first."""
+    top = counts.where(F.col("token") != END).orderBy(F.desc("n"), "token").limit(most - 1).collect()
+    return {END: sum(r.n for r in counts.where(F.col("token") == END).collect())} | {bytes(r.token): r.n for r in top}
+
+
+def start_bigrams(texts: DataFrame, words: list[bytes]) -> np.ndarray:
+    """How often each of the words follows each, over all texts."""
+    size = len(words)
+    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        table = np.zeros(size * size, np.int64)
+        for stream in _streams(batches):
+            ids = np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))
+            left, right = ids[:-1], ids[1:]
+            both = (left >= 0) & (right >= 0)
+            table += np.bincount(left[both] * size + right[both], minlength=size * size)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["pair", "n"])
+
+    sums = _bytes(texts).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    table = np.zeros(size * size, np.int64)
+    rows = stored(sums, "start-bigrams").toArrow()  # at most the square of START
+    table[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return table.reshape(size, size)
 
 
 def likelihood(c: np.ndarray) -> float:
@@ -132,159 +168,267 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
     return of
 
 
-class Model:
-    """What every task holds: units and their classes, class statistics, counts of the most frequent words."""
-
-    def __init__(self, unit: dict[str, int], of: np.ndarray, held: dict[str, int]):
-        self.unit, self.of, self.held = unit, of, held
-        self.rest = unit.get("\t", len(of) - 1)
+def best_classes(table: np.ndarray, word: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, size: int, other: int) -> np.ndarray:
+    """The class of each of `size` words in which `table`, the class bigrams, becomes most likely.
 
-    def class_of(self, token: str) -> int:
-        u = self.unit.get(token)
-        if u is None:
-            u = self.unit.get(ending(token), self.rest) if token != END else self.rest
-        return int(self.of[u])
+    Word word[i] comes n[i] times between the classes before[i] and after[i] (-1: not known).  The words aren't in the
+    table yet; one without a known neighbour gets the class `other`.
+    """
+    classes = len(table)
 
+    def f(a):
+        return a * np.log(np.maximum(a, 1e-300))
 
-def units(counts: DataFrame, n_words: int, n_endings: int) -> dict[str, int]:
-    """The most frequent words, the most frequent endings of the others, and one unit for all the rest."""
-    spark = counts.sparkSession
-    top = [r.token for r in counts.orderBy(F.desc("n"), "token").limit(n_words).collect()]
-    known = spark.sparkContext.broadcast(frozenset(top))
+    def dense(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        have = at >= 0
+        sums = np.bincount(word[have] * classes + at[have], n[have], size * classes)
+        return sums.reshape(size, classes), np.flatnonzero(sums)
+
+    (into, into_at), (out, out_at) = dense(before), dense(after)
+    gain = np.zeros((size, classes))
+    for at, sums, cells in ((out_at, out, table.T), (into_at, into, table)):
+        w, c = np.divmod(at, classes)
+        for some in np.array_split(np.arange(len(at)), len(at) // 20_000 + 1):
+            cell = cells[c[some]]  # for words before class c: column c of the table, by the row the word would be in
+            np.add.at(gain, w[some], f(cell + sums[w[some], c[some]][:, None]) - f(cell))
+    cell = np.diag(table)
+    gain += f(cell + out + into) - f(cell + out) - f(cell + into) + f(cell)
+    rows, cols = table.sum(1) + into, table.sum(0) + out
+    gain -= f(rows + out.sum(1, keepdims=True)) - f(rows) + f(cols + into.sum(1, keepdims=True)) - f(cols)
+    best = gain.argmax(1)
+    best[(into.sum(1) == 0) & (out.sum(1) == 0)] = other
+    return best
+
+
+def _placed(contexts: DataFrame, key: str, kind: str, table: np.ndarray, other: int) -> DataFrame:
+    """key, n, class and contexts of each word of contexts(key, l, r, n), classes before and after it."""
+    each = contexts.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", "r", "n")).alias("at"))  # at most (CLASSES + 1) squared
+    shared = contexts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
-        for b in batches:
-            for token, n in zip(b.column("token").to_pylist(), b.column("n").to_pylist(), strict=True):
-                if token not in known.value:
-                    sums[ending(token)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["ending", "n"])
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(first, BLOCK)
+                at = b.column("at")
+                lengths, flat = at.value_lengths().to_numpy(zero_copy_only=False), at.flatten()
+                l, r, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("l", "r", "n"))
+                of = best_classes(shared.value, np.repeat(np.arange(len(b)), lengths), l, r, n, len(b), other)
+                yield pa.RecordBatch.from_arrays([b.column(key), b.column("n"), pa.array(of.astype(np.int32)), at], [key, "n", "class", "at"])
 
-    ends = counts.select("token", "n").mapInArrow(run, "ending string, n long").groupBy("ending").agg(F.sum("n").alias("n"))
-    tails = [r.ending for r in ends.orderBy(F.desc("n"), "ending").limit(n_endings).collect()]
-    return {x: i for i, x in enumerate([*top, *tails, "\t"])}
+    return each.mapInArrow(run, f"{key} {kind}, n long, class int, at array<struct<l:int,r:int,n:long>>")
 
 
-def _unit_bigrams(texts: DataFrame, unit: dict[str, int]) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(unit)
+def held_contexts(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataFrame:
+    """id, l, r, n: how often each of the words that has no class (-1) yet comes between which classes."""
+    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, of))
+    base = int(of.max()) + 2
 
-    def count(counts: Counter, text: str) -> None:
-        get, rest = shared.value.get, shared.value["\t"]
-        ids = []
-        for t in tokens(text):
-            u = get(t)
-            ids.append(u if u is not None else get(ending(t), rest) if t != END else rest)
-        end = get(END, rest)
-        counts.update(pairwise([end, *ids]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, of = shared.value[0].get, np.append(shared.value[1], -1)
+        parts: list[np.ndarray] = []
 
-    return _partial(texts, count, "a int, b int, n long", [pa.int32(), pa.int32(), pa.int64()])
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            parts.clear()
+            word, l, r = keys // (base * base), keys // base % base - 1, keys % base - 1
+            return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (word, l, r)), pa.array(n)], ["id", "l", "r", "n"])
+
+        for stream in _streams(batches):
+            ids = np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))
+            cls = of[ids]
+            at = np.flatnonzero((ids >= 0) & (cls < 0))
+            at = at[(cls[at - 1] >= 0) | (cls[at + 1] >= 0)]
+            parts.append((ids[at] * base + cls[at - 1] + 1) * base + cls[at + 1] + 1)
+            if sum(map(len, parts)) > 4_000_000:
+                yield flush()
+        if parts:
+            yield flush()
 
+    return _bytes(texts).mapInArrow(run, "id int, l int, r int, n long").groupBy("id", "l", "r").agg(F.sum("n").alias("n"))
 
-def scores(docs: DataFrame, folds: int = 5, held: int = 1, n_units: int = UNITS, n_endings: int = ENDINGS, classes: int = CLASSES, rounds: int = ROUNDS, n_held: int = HELD) -> DataFrame:
-    """log10 probability of every whole text of docs(doc_id, text), learned from those outside the held-out fold.
 
-    Returns doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-half unigrams)
-    and score (the class model).  Held out: crc32(doc_id as text) mod `folds` is `held`.  Null texts count as empty
-    and are one end token.  One row per row, repeated rows too (they count as often); a null doc_id is in fold 0.
-    An empty table gives no rows; without training rows all words are unknown.
+def _gathered(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataFrame:
+    """Counts of what surrounds what: (l, r, n) of class bigrams of held words; (token, l, r, n) of other tokens between
+    classes (-1: the neighbour isn't held either); (token, other, n) of tokens that aren't held in a row."""
+    classes = int(of.max()) + 1
+    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, of))
+    names = ["token", "other", "l", "r", "n"]
+
+    def batch(token, other, l, r, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), pa.array(other, pa.binary()), pa.array(l, pa.int32()), pa.array(r, pa.int32()), pa.array(n, pa.int64())], names)
 
-    Counts of the `n_held` most frequent words are with every task.  Other words meet their counts in one join on the
-    word, after each document's equal words were put together; frequent words don't take part in it, so no key is hot.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, of = shared.value[0].get, np.append(shared.value[1], -1)
+        table, alone, pairs = np.zeros(classes * classes, np.int64), Counter(), Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if alone:
+                token, l, r = zip(*alone, strict=True)
+                yield batch(token, [None] * len(token), l, r, list(alone.values()))
+            if pairs:
+                token, other = zip(*pairs, strict=True)
+                yield batch(token, other, [None] * len(token), [None] * len(token), list(pairs.values()))
+            alone.clear()
+            pairs.clear()
+
+        for stream in _streams(batches):
+            cls = of[np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))]
+            both = (cls[:-1] >= 0) & (cls[1:] >= 0)
+            table += np.bincount(cls[:-1][both] * classes + cls[1:][both], minlength=classes * classes)
+            at = np.flatnonzero(cls < 0)
+            alone.update(zip([stream[i] for i in at.tolist()], cls[at - 1].tolist(), cls[at + 1].tolist(), strict=True))
+            pairs.update((stream[i], stream[i + 1]) for i in at[cls[at + 1] < 0].tolist())
+            if len(alone) + len(pairs) > FLUSH:
+                yield from flush()
+        yield from flush()
+        at = np.flatnonzero(table)
+        yield batch([None] * len(at), [None] * len(at), at // classes, at % classes, table[at])
+
+    rows = _bytes(texts).mapInArrow(run, "token binary, other binary, l int, r int, n long")
+    return rows.groupBy("token", "other", "l", "r").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Model:
+    """held: words with counts, of: their classes; tail(token, n, class): all other words of the training texts.
+
+    follow: log10 P(class | class before); spread: what log10 P(word | class) takes off log10(count + 1/2); other: the
+    class of words that training hasn't seen.
     """
-    spark = docs.sparkSession
-    texts = texts_of(docs)
-    train = texts.where(crc_mod("doc_id", folds) != held)
+
+    held: dict[bytes, int]
+    of: np.ndarray
+    tail: DataFrame
+    follow: np.ndarray
+    spread: np.ndarray
+    other: int
+    total: int
+    types: int
+
+
+def fit(train: DataFrame, start: int = START, held: int = HELD, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
+    """The model of all texts of train(text)."""
     counts = stored(token_counts(train), "token-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    unit = units(counts, n_units, n_endings)
-    pairs = stored(_unit_bigrams(train, unit), "unit-bigrams").toArrow()  # at most the square of the bounded units
-    size = len(unit)
-    left, right, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
-    n = n.astype(float)
-    of = exchange(left, right, n, size, classes, rounds)
-    follow = np.zeros((classes, classes))
-    np.add.at(follow, (of[left], of[right]), n)
-    alone = (follow.sum(0) + 0.5) / (follow.sum() + 0.5 * classes)
+    top = frequent(counts, held)
+    words, n = list(top), np.array(list(top.values()), float)
+    first = start_bigrams(train, words[:start])
+    left, right = np.nonzero(first)
+    of = np.full(len(words), -1)
+    of[: len(first)] = exchange(left, right, first[left, right].astype(float), len(first), classes, rounds)
+    table = np.zeros((classes, classes))
+    np.add.at(table, (of[left], of[right]), first[left, right])
+    other = int(np.bincount(of[: len(first)], minlength=classes).argmax())
+    if len(words) > len(first):
+        placed = _placed(held_contexts(train, words, of), "id", "int", table, other).select("id", "class")
+        rows = stored(placed, "held-classes").toArrow()  # at most HELD
+        of[rows.column("id").to_numpy()] = rows.column("class").to_numpy()
+        of[of < 0] = other
+        other = int(np.bincount(of, minlength=classes).argmax())
+    around = stored(_gathered(train, words, of), "surroundings")
+    table = np.zeros((classes, classes))
+
+    def add(rows: DataFrame) -> None:
+        for r in rows.groupBy("l", "r").agg(F.sum("n").alias("n")).collect():  # at most the square of the classes
+            table[r.l, r.r] += r.n
+
+    add(around.where("token is null"))
+    alone = around.where("token is not null and other is null").select("token", "l", "r", "n")
+    tail = stored(_placed(alone, "token", "binary", table.copy(), other), "tail-classes")
+    at = tail.select("class", F.explode("at").alias("x")).select("class", "x.*")
+    add(at.where("l >= 0").select("l", F.col("class").alias("r"), "n").unionByName(at.where("r >= 0").select(F.col("class").alias("l"), "r", "n")))
+    tail = tail.select("token", "n", "class")
+    pairs = around.where("other is not null").select("token", "other", "n")
+    pairs = pairs.join(tail.select("token", F.col("class").alias("l")), "token").join(tail.select(F.col("token").alias("other"), F.col("class").alias("r")), "other")
+    add(pairs.select("l", "r", "n"))
+    alone = (table.sum(0) + 0.5) / (table.sum() + 0.5 * classes)
     # Interpolated with the classes alone, so that an odd sequence costs little more than its words do
-    seen = (follow + alone) / (follow.sum(1, keepdims=True) + 1)
-    follow = np.log10((1 - ALONE) * seen + ALONE * alone)
-    top = {r.token: r.n for r in counts.orderBy(F.desc("n"), "token").limit(n_held).collect()}
-    model = spark.sparkContext.broadcast(Model(unit, of, top))
-    emitted = np.zeros((classes, 2))
-    for r in _class_sizes(counts, model).collect():
-        emitted[r["class"]] = r.n, r.v
+    seen = (table + alone) / (table.sum(1, keepdims=True) + 1)
+    emitted = np.stack([np.bincount(of, n, classes), np.bincount(of, minlength=classes)], 1)
+    emitted[of[0]] -= [0, n[0] == 0]  # no text to learn from: no end token either
+    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        emitted[r["class"]] += r.n, r.v
     # Each class has one more word, for all that training hasn't seen
     spread = np.log10(emitted[:, 0] + 0.5 * (emitted[:, 1] + 1))
-    step = spark.sparkContext.broadcast((follow, spread))
-    rows = stored(_parts(texts, model, step), "scored")
-    rare = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.token").alias("token"), F.col("x.k").alias("k"))
-    met = rare.join(counts, "token", "left").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known")
-    )
-    out = rows.drop("rare").join(met, "row", "left")
-    logs = F.col("logs_held") + F.coalesce("logs", F.lit(0.0))
-    bottom = math.log10(total.n + 0.5 * (total.v + 1))
+    return Model(top, of, tail, np.log10((1 - ALONE) * seen + ALONE * alone), spread, other, int(total.n), int(total.v))
+
+
+def scores(docs: DataFrame, folds: int = 5, held_out: int = 1, start: int = START, held: int = HELD, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+    """log10 probability of every whole text of docs(doc_id, text), learned from those outside the held-out fold.
+
+    Returns doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-half unigrams)
+    and score (the class model).  Held out: crc32(doc_id as text) mod `folds` is `held_out`.  Null texts count as empty
+    and are one end token.  One row per row, repeated rows too (they count as often); a null doc_id is in fold 0.
+    An empty table gives no rows; without training rows all words are unknown.
+    """
+    texts = texts_of(docs)
+    model = fit(texts.where(crc_mod("doc_id", folds) != held_out), start, held, classes, rounds)
+    out = scored(texts, model)
+    bottom = math.log10(model.total + 0.5 * (model.types + 1))
     return out.select(
         "doc_id",
-        (crc_mod("doc_id", folds) == held).alias("held_out"),
+        (crc_mod("doc_id", folds) == held_out).alias("held_out"),
         "n_tokens",
-        (F.col("known_held") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total.n)).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * bottom).alias("base_score"),
-        (logs + F.col("class_logs")).alias("score"),
+        F.col("known").cast("long").alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * bottom).alias("base_score"),
+        (F.col("logs") + F.col("class_logs")).alias("score"),
     )
 
 
-def _class_sizes(counts: DataFrame, model) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = Counter(), Counter()
-        for b in batches:
-            for token, k in zip(b.column("token").to_pylist(), b.column("n").to_pylist(), strict=True):
-                c = model.value.class_of(token)
-                n[c] += k
-                v[c] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array(list(v.values()), pa.int64())], ["class", "n", "v"])
-
-    return counts.select("token", "n").mapInArrow(run, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-
+def scored(texts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, known, logs (sum of log10(count + 1/2)), class_logs of each of texts(doc_id, text).
 
-def _parts(texts: DataFrame, model, step) -> DataFrame:
-    """Per row: what its classes and its frequent words add to the score, and its other words with how often each comes."""
+    Tokens that aren't held meet their counts and classes in joins on the token.  Frequent ones take no part in these,
+    so no key is hot.
+    """
+    spark = texts.sparkSession
+    rows = stored(_parts(texts, model), "scored")
+    size = range(len(model.follow))
+    step = F.broadcast(spark.createDataFrame([(i, j, float(model.follow[i, j])) for i in size for j in size], "l int, r int, step double"))
+    off = F.broadcast(spark.createDataFrame([(i, float(model.spread[i])) for i in size], "class int, off double"))
+    cls, zero = F.coalesce("class", F.lit(model.other)), F.lit(0.0)
+    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.*").join(model.tail, "token", "left").withColumn("class", cls)
+    rare = rare.join(step.withColumnsRenamed({"r": "class", "step": "into"}), ["l", "class"], "left").join(step.withColumnsRenamed({"l": "class", "step": "out"}), ["class", "r"], "left").join(off, "class")
+    rare = rare.select("row", F.log10(F.coalesce("n", F.lit(0)) + 0.5).alias("logs"), F.when(F.col("n") > 0, 1).otherwise(0).alias("known"), (F.coalesce("into", zero) + F.coalesce("out", zero) - F.col("off")).alias("class_logs"))
+    pairs = rows.select("row", F.explode("pairs").alias("x")).select("row", "x.*")
+    pairs = pairs.join(model.tail.select("token", F.col("class").alias("l")), "token", "left").join(model.tail.select(F.col("token").alias("other"), F.col("class").alias("r")), "other", "left")
+    pairs = pairs.withColumn("l", F.coalesce("l", F.lit(model.other))).withColumn("r", F.coalesce("r", F.lit(model.other))).join(step, ["l", "r"])
+    pairs = pairs.select("row", zero.alias("logs"), F.lit(0).alias("known"), F.col("step").alias("class_logs"))
+    met = rare.unionByName(pairs).groupBy("row").agg(F.sum("logs").alias("more_logs"), F.sum("known").alias("more_known"), F.sum("class_logs").alias("more_class_logs"))
+    out = rows.drop("rare", "pairs").join(met, "row", "left")
+    return out.select("doc_id", "n_tokens", *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("known", "logs", "class_logs")])
+
+
+def _parts(texts: DataFrame, model: Model) -> DataFrame:
+    """Per row: what its held tokens add to the scores, and its other tokens with the classes around them."""
+    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(model.held)}, np.array(list(model.held.values()), np.int64), model.of, model.follow, model.spread))
+    rare_of = pa.struct([("token", pa.binary()), ("l", pa.int32()), ("r", pa.int32())])
+    pair_of = pa.struct([("token", pa.binary()), ("other", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (follow, spread) = model.value, step.value
-        held, unit, of, rest = m.held, m.unit, m.of.tolist(), m.rest
-        known: dict[str, tuple[int, float, int]] = {}
-        start = m.class_of(END)
+        place, n, of, follow, spread = shared.value
+        get, of = place.get, np.append(of, -1)
+        seen, logs = np.append(n > 0, False), np.append(np.log10(n + 0.5), 0.0)
+        follow, spread = np.pad(follow, (0, 1)), np.append(spread, 0.0)  # what isn't known adds nothing here
         for b in batches:
-            n_tokens, known_held, logs_held, class_logs, rare = [], [], [], [], []
+            stream, ends = [END], []
             for text in b.column("text").to_pylist():
-                found = tokens(text)
-                if len(known) > 300_000:
-                    known = {}
-                facts = list(map(known.get, found))
-                if None in facts:
-                    for i, x in enumerate(facts):
-                        if x is None:
-                            t = found[i]
-                            n = held.get(t, 0)
-                            u = unit.get(t)
-                            if u is None:
-                                u = unit.get(ending(t), rest) if t != END else rest
-                            facts[i] = known[t] = (of[u], math.log10(n + 0.5) if n else 0.0, int(n > 0))
-                classes, logs, seen = map(np.array, zip(*facts, strict=True))
-                before = np.append(start, classes[:-1])
-                n_tokens.append(len(found))
-                known_held.append(int(seen.sum()))
-                logs_held.append(float(logs.sum()))
-                class_logs.append(float(follow[before, classes].sum() - spread[classes].sum()))
-                some = Counter(t for t, x in zip(found, facts, strict=True) if not x[2])
-                rare.append([{"token": t, "k": k} for t, k in some.items()])
-            kind = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(known_held, pa.int64()), pa.array(logs_held, pa.float64()), pa.array(class_logs, pa.float64()), pa.array(rare, kind)],
-                ["row", "doc_id", "n_tokens", "known_held", "logs_held", "class_logs", "rare"],
-            )
-
-    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, known_held long, logs_held double, class_logs double, rare array<struct<token:string,k:long>>")
+                stream += text.lower().split()
+                stream.append(END)
+                ends.append(len(stream))
+            ids = np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))
+            cls = of[ids]
+            first = np.array([1, *ends[:-1]], np.int64)
+            sums = [np.add.reduceat(x, first) for x in (seen[ids].astype(np.int64), logs[ids], follow[np.append(0, cls[:-1]), cls] - spread[cls])]
+            at = np.flatnonzero(cls < 0)
+            two = at[cls[at + 1] < 0]
+            lists = []
+            for where, kind, columns in ((at, rare_of, (cls[at - 1], cls[at + 1])), (two, pair_of, ([stream[i + 1] for i in two.tolist()],))):
+                columns = [[stream[i] for i in where.tolist()], *columns]
+                flat = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kind, strict=True)], fields=list(kind))
+                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.append(first, len(stream))), pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(np.diff([1, *ends]), pa.int64()), *map(pa.array, sums), *lists], ["row", "doc_id", "n_tokens", "known", "logs", "class_logs", "rare", "pairs"])
+
+    numbered = _bytes(texts.withColumn("row", F.monotonically_increasing_id()), "row", "doc_id")
+    return numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, logs double, class_logs double, rare array<struct<token:binary,l:int,r:int>>, pairs array<struct<token:binary,other:binary>>")

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 
@@ -45,7 +46,7 @@ def test_exchange_weighs_moves_by_likelihood():
 
 
 def test_tokens():
-    assert C.tokens("The ÄB\x0bx\x85y 1,") == ["the", "Äb", "x\x85y", "1,", C.END]
+    assert C.tokens("The ÄB\x0bx\x85y\x1c 1,") == [b"the", "Äb".encode(), "x\x85y\x1c".encode(), b"1,", C.END]
     assert C.tokens("") == [C.END]
 
 
@@ -70,22 +71,70 @@ def test_scores(spark):
             count.update(toks(t))
     n, v = sum(count.values()), len(count)
     want = sorted((str(d), held(d), len(toks(t)), sum(count[x] > 0 for x in toks(t)), n, round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks(t)), 4)) for d, t, _ in rows)
-    for n_held in (10, 50_000):  # few words with every task: most go through the join
-        out = C.scores(docs, n_units=30, n_endings=5, classes=6, n_held=n_held).collect()
+    for start, held in ((6, 10), (30, 40), (30, 50_000)):  # few words with every task: most go through the joins
+        out = C.scores(docs, start=start, held=held, classes=6).collect()
         assert sorted((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 4)) for x in out) == want
         some = [x for x in out if x.held_out and x.doc_id != 903]
-        assert sum(x.score for x in some) > sum(x.base_score for x in some) + 1
+        assert start < 30 or sum(x.score for x in some) > sum(x.base_score for x in some) + 1
     assert C.scores(docs.limit(0)).count() == 0
-    none = C.scores(docs.where("doc_id = 902 or doc_id is null"), n_units=3, n_endings=2, classes=2).collect()
+    none = C.scores(docs.where("doc_id = 902 or doc_id is null"), start=3, held=4, classes=2).collect()
     assert len(none) == 2
 
 
-def test_class_model_is_a_distribution(spark):
-    """Classes after a class, and words of a class with one unseen word, each sum to one."""
-    docs = spark.createDataFrame([(i, t, "") for i, (_, t, _) in enumerate(sample()[:60])], "doc_id long, text string, x string")
-    train = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
-    counts = C.token_counts(train.select("text"))
-    unit = C.units(counts, 30, 5)
-    pairs = C._unit_bigrams(train, unit).toPandas()
-    assert pairs.n.sum() == sum(len(C.tokens(r.text)) for r in train.collect())
-    assert set(pairs.a) | set(pairs.b) <= set(range(len(unit)))
+def test_model_and_score_against_plain_counts(spark):
+    """Classes after a class, and words of a class with one unseen word, each sum to one; scores follow from counts of
+    the whole texts by class, whether words are held or not."""
+    rows = [(i, t or "") for i, (_, t, _) in enumerate(sample()[:80])] + [(500, "n1a qq1 qq2 qq3 v1o new1 new2"), (501, "qq9 qq8"), (502, "")]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    for start, held, size in ((8, 12, 4), (8, 40, 4), (8, 9999, 4)):
+        m = C.fit(train.select("text"), start, held, size)
+        tail = {bytes(r.token): (r.n, r["class"]) for r in m.tail.collect()}
+        of = {w: int(m.of[i]) for i, w in enumerate(m.held)} | {w: c for w, (_, c) in tail.items()}
+        count = Counter(w for _, t in rows for w in C.tokens(t))
+        assert count == Counter(m.held) + Counter({w: n for w, (n, _) in tail.items()}) and len(of) == len(count) == m.types
+        table, n, v = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+        for _, t in rows:
+            for a, b in pairwise([C.END, *C.tokens(t)]):
+                table[of[a], of[b]] += 1
+        for w, c in of.items():
+            n[c] += count[w]
+            v[c] += 1
+        alone = (table.sum(0) + 0.5) / (table.sum() + 0.5 * size)
+        follow = (1 - C.ALONE) * (table + alone) / (table.sum(1, keepdims=True) + 1) + C.ALONE * alone
+        assert np.allclose(10**m.follow, follow) and np.allclose(follow.sum(1), 1)
+        emitted = np.zeros(size)
+        for w, c in of.items():
+            emitted[c] += (count[w] + 0.5) / 10 ** m.spread[c]
+        assert np.allclose(emitted + 0.5 / 10**m.spread, 1) and np.allclose(10**m.spread, n + 0.5 * (v + 1))
+        more = [(900, "unseen n1a unseen unseen2 qq1 unseen3"), (901, None), *rows]
+        for r in C.scored(C.texts_of(spark.createDataFrame(more, "doc_id long, text string")), m).collect():
+            want = 0.0
+            for a, b in pairwise([C.END, *C.tokens(dict(more)[r.doc_id] or "")]):
+                c = of.get(b, m.other)
+                want += math.log10(follow[of.get(a, m.other), c]) + math.log10((count[b] + 0.5) / (n[c] + 0.5 * (v[c] + 1)))
+            assert abs(r.logs + r.class_logs - want) < 1e-6
+
+
+def test_best_classes_weigh_by_likelihood():
+    r = np.random.default_rng(7)
+    for _ in range(30):
+        k, size = 5, 6
+        table = r.integers(0, 40, (k, k)).astype(float)
+        word = r.integers(0, size, 25)
+        before, after, n = r.integers(-1, k, 25), r.integers(-1, k, 25), r.integers(1, 9, 25)
+        got = C.best_classes(table, word, before, after, n, size, 3)
+        for w in range(size):
+            mine = np.flatnonzero(word == w)
+            if not ((before[mine] >= 0) | (after[mine] >= 0)).any():
+                assert got[w] == 3
+                continue
+            values = []
+            for c in range(k):
+                t = table.copy()
+                for i in mine:
+                    if before[i] >= 0:
+                        t[before[i], c] += n[i]
+                    if after[i] >= 0:
+                        t[c, after[i]] += n[i]
+                values.append(C.likelihood(t))
+            assert values[got[w]] >= max(values) - 1e-6
