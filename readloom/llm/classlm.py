@@ -81,9 +81,28 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The most frequent tokens and their counts, the end token first."""
-    top = counts.where(F.col("token") != END).orderBy(F.desc("n"), "token").limit(most - 1).collect()
-    return {END: sum(r.n for r in counts.where(F.col("token") == END).collect())} | {bytes(r.token): r.n for r in top}
+    """The most frequent tokens and their counts, the end token first; at most that many.
+
+    Where to cut comes from counts of tokens by the logarithm of their frequency and, at the last one, by a hash, so the
+    driver gets no more rows than it keeps, however many tasks there are.
+    """
+    step, slot = F.floor(F.log2(F.col("n").cast("double")) * 16), F.pmod(F.xxhash64("token"), F.lit(4096))
+    others = counts.where(F.col("token") != END).withColumn("step", step).withColumn("slot", slot)
+
+    def cut(by: DataFrame, column: str, falling: bool, room: int) -> tuple[int | None, int]:
+        """The first value that doesn't fit as a whole, and the room left before it."""
+        for r in sorted(by.groupBy(column).agg(F.count("*").alias("v")).collect(), key=lambda r: r[column], reverse=falling):
+            if r.v > room:
+                return r[column], room
+            room -= r.v
+        return None, room
+
+    last, room = cut(others, "step", True, most - 1)
+    if last is not None:
+        end, _ = cut(others.where(F.col("step") == last), "slot", False, room)
+        others = others.where((F.col("step") > last) | (F.col("step") == last) & (F.col("slot") < end))
+    top = sorted(((r.n, bytes(r.token)) for r in others.select("token", "n").collect()), key=lambda x: (-x[0], x[1]))
+    return {END: sum(r.n for r in counts.where(F.col("token") == END).collect())} | {token: n for n, token in top}
 
 
 def start_bigrams(texts: DataFrame, words: list[bytes]) -> np.ndarray:
