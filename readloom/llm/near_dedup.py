@@ -232,6 +232,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataF
     leaders = members.join(known, "id").groupBy("key").agg(F.max_by("id", F.struct("met", "id")).alias("leader"), F.count("*").alias("size"))
     led = join_groups(members, stored(leaders, "leaders"), "key", "size", total)
     pairs = led.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("crowd").alias("crowd"))
+    pairs = stored(pairs, "leader-pairs")
     sets = stored(_sets(_texts(docs, nodes.select("id", "first").join(members.select("id").distinct(), "id", "left_semi"))), "shingle-sets")
     met = stored(_compared(pairs, sets, least), "compared")
     links = met.where("like").select("a", "b")
