@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from readloom.llm.common import crc_mod, small_batches, stored, texts_of
 
 MARK = "▁"
-#: Longer runs of letters are cut at this many; pieces are shorter than that.
-LONGEST, PIECE = 32, 12
+#: Longer words are summed in logarithms, as their probabilities may be too small for numbers.
+LONGEST = 32
 MOST_WORDS = 400_000
 SLOTS = 18
 #: Probability of a letter that no piece holds, and what is added to each expected count.
@@ -36,12 +36,10 @@ words_of = re.compile(r"[^\W\d_]+").findall
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, lower-cased; very long ones in parts."""
+    """Runs of letters, lower-cased, whole."""
     found = words_of(text.lower())
     if not all(map(str.isalpha, found)):  # numerals that aren't digits
         found = letters_of(text.lower())
-    if found and max(map(len, found)) > LONGEST:
-        return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
 
@@ -53,27 +51,34 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        self.names = sorted(p for p in found if len(p) <= PIECE and p.replace(MARK, "", 1).isalpha() and MARK not in p[1:] and p == p.lower())
-        with np.errstate(over="ignore"):
-            hashes = np.array([self._hash(p) for p in self.names], np.uint64)
-        # Two tables by different bits of the hash: a piece whose place in the first is taken goes to the second.
-        self.hashes = np.append(hashes, np.uint64(0))
-        self.first, self.second = (np.full(1 << SLOTS, len(self.names), np.int32) for _ in range(2))
-        for i, h in enumerate(hashes.tolist()):
-            table, slot = (self.first, h >> 64 - SLOTS) if self.first[h >> 64 - SLOTS] == len(self.names) else (self.second, h >> 20 & (1 << SLOTS) - 1)
-            if table[slot] != len(self.names):
-                raise ValueError("pieces of one place in both tables")
+        self.names = sorted(p for p in found if p.replace(MARK, "", 1).isalpha() and MARK not in p[1:] and p == p.lower())
+        self.most = max(map(len, self.names))
+        self.seed = next(seed for seed in range(1000) if self._fill(seed))
+
+    def _fill(self, seed: int) -> bool:
+        """Put the pieces into two tables by different bits of their hash, those whose place in the first is taken into
+        the second; False if that is taken too."""
+        none, hashes = len(self.names), [self._hash(p, seed) for p in self.names]
+        self.hashes = np.array([*hashes, 0], np.uint64)
+        self.first, self.second = (np.full(1 << SLOTS, none, np.int32) for _ in range(2))
+        for i, h in enumerate(hashes):
+            table, slot = self.first, h >> 64 - SLOTS
+            if table[slot] != none:
+                table, slot = self.second, h >> 20 & (1 << SLOTS) - 1
+            if table[slot] != none:
+                return False
             table[slot] = i
+        return True
 
     def __len__(self) -> int:
         return len(self.names)
 
     @staticmethod
-    def _hash(piece: str) -> np.uint64:
-        h = np.uint64(len(piece))
+    def _hash(piece: str, seed: int) -> int:
+        h = seed
         for c in piece:
-            h = (h ^ np.uint64(ord(c))) * BASE
-            h ^= h >> np.uint64(29)
+            h = (h ^ ord(c)) * int(BASE) & (1 << 64) - 1
+            h ^= h >> 29
         return h
 
     def spans(self, codes: np.ndarray) -> list[np.ndarray]:
@@ -81,11 +86,10 @@ class Pieces:
         n, length = codes.shape
         out, none = [], len(self)
         with np.errstate(over="ignore"):
-            for k in range(1, min(PIECE, length) + 1):
-                h = np.full((n, length - k + 1), k, np.uint64)
-                for j in range(k):
-                    h = (h ^ codes[:, j : length - k + 1 + j]) * BASE
-                    h ^= h >> np.uint64(29)
+            h = np.full((n, length + 1), self.seed, np.uint64)
+            for k in range(1, min(self.most, length) + 1):
+                h = (h[:, :-1] ^ codes[:, k - 1 :]) * BASE  # from the hash of one character less
+                h ^= h >> np.uint64(29)
                 at = self.first[h >> np.uint64(64 - SLOTS)]
                 lost = (at < none) & (self.hashes[at] != h)
                 if lost.any():
@@ -97,11 +101,11 @@ class Pieces:
 
 
 def by_length(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in the list and characters (with the mark) of words of one length, at most 20,000 words at a time."""
+    """Places in the list and characters (with the mark) of words of one length, some 20,000 words or fewer at a time."""
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     for length in np.unique(lengths):
         where = np.flatnonzero(lengths == length)
-        for part in np.array_split(where, len(where) // 20_000 + 1):
+        for part in np.array_split(where, min(len(where), len(where) * max(1, int(length) // LONGEST) // 20_000 + 1)):
             data = "".join([found[i] for i in part.tolist()]).encode("utf-32-le")
             codes = np.frombuffer(data, "<u4").reshape(len(part), length).astype(np.uint64)
             yield part, np.hstack([np.full((len(part), 1), ord(MARK), np.uint64), codes])
@@ -134,11 +138,28 @@ def backward(spans: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
     return beta
 
 
+def log_sums(spans: list[np.ndarray], prob: np.ndarray, back: bool = False) -> np.ndarray:
+    """Logarithms of forward(), or of backward(), for words of any length."""
+    n, length = spans[0].shape
+    with np.errstate(divide="ignore"):
+        logs = np.log(prob)
+    out = np.zeros((n, length + 1, prob.shape[1]))
+    for j in range(length - 1, -1, -1) if back else range(1, length + 1):
+        parts = []
+        for k in range(1, min(len(spans), length - j if back else j) + 1):
+            p = logs[spans[k - 1][:, j if back else j - k]]
+            parts.append(out[:, j + k if back else j - k] + (np.maximum(p, np.log(UNKNOWN)) if k == 1 else p))
+        top = np.max(parts, 0)
+        out[:, j] = top + np.log(np.exp(np.array(parts) - top).sum(0))
+    return out
+
+
 def log_prob(found: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """log probability of each word in each language, over all segmentations."""
     out = np.empty((len(found), prob.shape[1]))
     for where, codes in by_length(found):
-        out[where] = np.log(forward(pieces.spans(codes), prob)[:, -1])
+        spans = pieces.spans(codes)
+        out[where] = np.log(forward(spans, prob)[:, -1]) if codes.shape[1] <= LONGEST else log_sums(spans, prob)[:, -1]
     return out
 
 
@@ -148,14 +169,20 @@ def expected(found: list[str], counts: np.ndarray, pieces: Pieces, prob: np.ndar
     out = np.zeros((n_pieces + 1) * n_langs)
     for where, codes in by_length(found):
         spans = pieces.spans(codes)
-        alpha, beta = forward(spans, prob), backward(spans, prob)
-        weight = counts[where] / alpha[:, -1]
+        if codes.shape[1] <= LONGEST:
+            alpha, beta = forward(spans, prob), backward(spans, prob)
+            weight = counts[where] / alpha[:, -1]
+        else:
+            alpha, beta, weight = log_sums(spans, prob), log_sums(spans, prob, back=True), counts[where]
         for k, ids in enumerate(spans, 1):
             for i in range(ids.shape[1]):
                 have = ids[:, i] < n_pieces
                 if have.any():
                     p = ids[have, i]
-                    use = weight[have] * alpha[have, i] * prob[p] * beta[have, i + k]
+                    if codes.shape[1] <= LONGEST:
+                        use = weight[have] * alpha[have, i] * prob[p] * beta[have, i + k]
+                    else:
+                        use = weight[have] * prob[p] * np.exp(alpha[have, i] + beta[have, i + k] - alpha[have, -1])
                     out += np.bincount((p[:, None] * n_langs + np.arange(n_langs)).ravel(), use.ravel(), len(out))
     return out.reshape(n_pieces + 1, n_langs)[:n_pieces]
 
@@ -201,7 +228,8 @@ def train(docs: DataFrame, path: str, rounds: int = 2) -> tuple[list[str], np.nd
     The driver gets one row per language, and per round one row per piece of the fixed vocabulary.
     """
     spark = docs.sparkSession
-    table = stored(word_counts(docs), "lang-words")
+    parts = 3 * spark.sparkContext.defaultParallelism  # the rounds' work lies in the words, so they are spread by them
+    table = stored(word_counts(docs).repartition(parts, "word", "lang"), "lang-words")
     langs = sorted(r.lang for r in table.select("lang").distinct().collect())
     pieces = pieces_at(path)
     size = np.array([len(p) for p in pieces.names])

@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -59,9 +61,57 @@ def test_expected_counts_are_those_of_all_segmentations(model):
                 assert abs(slope - e[i, lang]) < 1e-3
 
 
+def plain_sum(word, pieces, prob):
+    """Sum over all segmentations by the rule for prefixes, in exact numbers."""
+    place = {p: i for i, p in enumerate(pieces.names)}
+    text, out = L.MARK + word, []
+    for lang in range(prob.shape[1]):
+        sums = [Fraction(1)]
+        for j in range(1, len(text) + 1):
+            total = Fraction(0)
+            for i in range(j):
+                p = prob[place[text[i:j]], lang] if text[i:j] in place else 0.0
+                total += sums[i] * Fraction(float(max(p, L.UNKNOWN) if j - i == 1 else p))
+            sums.append(total)
+        out.append(math.log(sums[-1].numerator) - math.log(sums[-1].denominator))
+    return np.array(out)
+
+
+def test_long_words_and_all_pieces(model):
+    """No word is cut and no piece of the vocabulary is left out, however small the probabilities."""
+    pieces, prob = model
+    assert pieces.most == max(map(len, pieces.names)) > 12
+    longest = max(pieces.names, key=len).lstrip(L.MARK)
+    found = [longest, "a" + longest * 2 + "b", "日本語ж" * 30, "straße" * 20]
+    got = L.log_prob(found, pieces, prob)
+    for w, x in zip(found, got, strict=True):
+        assert np.allclose(x, plain_sum(w, pieces, prob))
+    spans = pieces.spans(next(L.by_length(["tion"]))[1])
+    for back, sums in ((False, L.forward), (True, L.backward)):
+        assert np.allclose(np.exp(L.log_sums(spans, prob, back)), sums(spans, prob))
+    word = "nation" * 8
+    e = L.expected([word], np.array([[1.0, 2, 3]]), pieces, prob)
+    for piece in ("n", "at", "ion", "tion"):
+        if piece in pieces.names:
+            i, eps = pieces.names.index(piece), 1e-6
+            more = prob.copy()
+            more[i] *= 1 + eps
+            slope = (L.log_prob([word], pieces, more) - L.log_prob([word], pieces, prob))[0] / eps * [1, 2, 3]
+            assert np.allclose(slope, e[i], atol=1e-3)
+
+
+def test_posterior_of_a_text(spark, model):
+    pieces, prob = model
+    text, prior = "The straße, the über tion", np.log([2.0, 5, 3])
+    total = prior + sum(np.log(brute(w, pieces, prob)) for w in L.words(text))
+    want = np.exp(total - total.max())
+    got = L.predict(spark.createDataFrame([(text,)], "text string"), PATH, (["x", "y", "z"], prob, prior)).first()
+    assert got.lang_pred == "xyz"[int(total.argmax())] and abs(got.score - 1 / want.sum()) < 1e-9
+
+
 def test_words():
     assert L.words("Über 12 l'été_x ½ ") == ["über", "l", "été", "x"]
-    assert L.words("a" * 70) == ["a" * 32, "a" * 32, "a" * 6]
+    assert L.words("a" * 70) == ["a" * 70]
     assert L.words("12 !? \n") == []
 
 
