@@ -24,8 +24,6 @@ ANCHORS = (
     "al como con del el ella es las lo los no para por se su"
 ).split()
 CHAIN = 2
-#: Likeness under which sizes alone settle a comparison: such pairs are 0.
-LEAST = 0.05
 
 
 def _first_full(a: Column, b: Column) -> Column:
@@ -53,8 +51,11 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     return F.sort_array(F.array_distinct(F.transform(parts, lambda s: F.xxhash64(s))))
 
 
-def pruned_jaccard(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard coefficient of two signature sets; 0 where their sizes alone keep it under `least`; 1 for two empty sets."""
+def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Jaccard coefficient of two signature sets; 1 for two empty sets.
+
+    A search may prune: under `least`, sets whose sizes alone keep them apart get 0 without being compared.
+    """
     n, m = F.size(a), F.size(b)
     bound = F.least(n, m) / F.greatest(n, m)
     both = F.size(F.array_intersect(a, b))

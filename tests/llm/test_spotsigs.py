@@ -22,7 +22,7 @@ def jaccard(a, b):
     if not a and not b:
         return 1.0
     j = len(a & b) / len(a | b)
-    return 0.0 if not a or not b or min(len(a), len(b)) / max(len(a), len(b)) < S.LEAST else j
+    return 0.0 if not a or not b else j
 
 
 def sample(n=60, seed=1):
