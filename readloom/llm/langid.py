@@ -25,7 +25,7 @@ from readloom.llm.common import crc_mod, small_batches, stored, texts_of
 MARK = "▁"
 #: Longer words are summed in logarithms, as their probabilities may be too small for numbers.
 LONGEST = 32
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 SLOTS = 18
 #: Probability of a letter that no piece holds, and what is added to each expected count.
 UNKNOWN, ADDED = 1e-7, 1e-3
@@ -262,21 +262,11 @@ def train(docs: DataFrame, path: str, rounds: int = 2) -> tuple[list[str], np.nd
     return langs, prob, prior
 
 
-def lettered(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a letter, by the same rule as words()."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([has_letter(t or "") is not None for t in b.column("text").to_pylist()], pa.bool_()))
-
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
-
-
-def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.ndarray], names: tuple[str, str] = ("lang_pred", "score"), lettered: bool = False) -> DataFrame:
     """docs(text, ...) with two more columns, called by `names`: the likeliest language and its posterior probability.
 
-    A text that is null or without a letter, and any text where no language was learned, gets `und` and score 0.
+    A text that is null or without a letter, and any text where no language was learned, gets `und` and score 0.  With
+    `lettered`, rows whose text is null or without a letter are left out.
     """
     langs, prob, prior = model
     shared = docs.sparkSession.sparkContext.broadcast((prob, prior - prior.max() if len(prior) else prior))
@@ -286,6 +276,8 @@ def predict(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray, np.n
         place: dict[str, int] = {}
         table = np.empty((0, len(langs)))
         for b in batches:
+            if lettered:
+                b = b.filter(pa.array([has_letter(t or "") is not None for t in b.column("text").to_pylist()], pa.bool_()))
             texts = [words(t) if t and langs else [] for t in b.column("text").to_pylist()]
             new = list(set().union(*texts).difference(place)) if len(place) < MOST_WORDS else None
             if new is None:  # begin anew, so that memory stays bounded

@@ -47,7 +47,7 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

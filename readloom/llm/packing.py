@@ -15,6 +15,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ CAPACITY = 4096
 FILLINGS, BRANCHES = 400, 20_000
 #: Steps of the search over whole plans for one number of sequences; beyond, it is open whether such a plan exists.
 STEPS = 60_000
-MOST_WORDS = 200_000
+MOST_WORDS = 120_000
 
 
 def _usual() -> str:
@@ -60,16 +61,16 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.merges = path, Tokenizer.from_file(path)
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.split = regex.compile(self.PATTERN).findall
         self.usual = re.compile(_usual()).fullmatch
         #: Tokens that the library finds in a text before all else
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        special = {t.content: i for i, t in self.merges.get_added_tokens_decoder().items()}
         self.special = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else lambda text: [text]
-        vocabulary = self.library.get_vocab()
+        vocabulary = self.merges.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # The library writes each byte as a printing character: itself where it is one, else the next from 256 on.
@@ -79,6 +80,13 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """The library as it is, for the few texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _each(self, words: list[str]) -> list[bytes]:
         """ids of words, each one piece: they are encoded together and parted where a token ends a word."""
         out: list[bytes] = []
