@@ -20,7 +20,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     model = langid.train(docs, PIECES)
     pred, score = fresh(docs, "lang_pred", "score")
-    found = langid.predict(langid.lettered(docs), PIECES, model, (pred, score))
+    found = langid.predict(docs, PIECES, model, (pred, score), lettered=True)
     known = F.when(F.col(pred) != "und", F.col(pred))
     lang = F.when(F.col("lang").isNull() | (F.col(score) >= SURE), F.coalesce(known, "lang")).otherwise(F.col("lang"))
     return found.withColumn("lang", lang).select(*[F.col(f"`{c}`") for c in docs.columns])
