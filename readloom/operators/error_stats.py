@@ -1,4 +1,4 @@
-"""Error statistics of aligned reads: by place in the read, and by homopolymer."""
+"""Error statistics of aligned reads: by place in the read, and by single-base run."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def by_read_position(reads: DataFrame, cuts: list[float]) -> DataFrame:
     return counts.join(F.broadcast(total)).select("bin", "mismatches", (F.col("mismatches") / F.col("total")).alias("rate"))
 
 
-def homopolymer_calls(pairs: DataFrame, longest: int = 6) -> DataFrame:
+def run_length_calls(pairs: DataFrame, longest: int = 6) -> DataFrame:
     """len, n, over, under of pairs(ref_run, read_run): how often a run of a reference length is read too long or short.
 
     Lengths from `longest` on are one class; runs without a base on either side are pure inserts or deletions and don't

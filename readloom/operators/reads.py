@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions import sequences as S
+#: k-mers that are cut out of one part of a sequence.
+BLOCK = 64
 
 
 def kmer_counts(reads: DataFrame, k: int, stride: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
-    """kmer, n (within `keys`) over reads(seq); sequences shorter than k have none."""
-    return reads.where(F.length("seq") >= k).select(*keys, F.explode(S.kmers(F.col("seq"), k, stride)).alias("kmer")).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+    """kmer, n (within `keys`) over reads(seq); sequences shorter than k have none.
+
+    A sequence is cut into parts of BLOCK k-mers, as finding a place in a string takes time by its distance from the
+    start; k-mers are cut out where they are counted.
+    """
+    first = F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1, F.lit(BLOCK * stride)))
+    parts = reads.where(F.length("seq") >= k).select(*keys, "seq", first.alias("first"))
+    parts = parts.select(*keys, F.col("seq").substr(F.col("first"), F.lit((BLOCK - 1) * stride + k)).alias("part"))
+    each = parts.select(*keys, "part", F.explode(F.sequence(F.lit(1), F.length("part") - k + 1, F.lit(stride))).alias("at"))
+    return each.groupBy(*keys, F.col("part").substr(F.col("at"), F.lit(k)).alias("kmer")).agg(F.count("*").alias("n"))
 
 
 def spectrum_cosine(counts: DataFrame, key: str) -> DataFrame:

@@ -211,6 +211,62 @@ def genotype_posterior(spark, d):
     return variants.genotype_posterior(pile).select("chrom", "pos", "genotype", r6("posterior", "posterior"))
 
 
+_PILE = """, pile AS (SELECT chrom, start AS pos, substr('ACGT', cast(start % 4 AS int) + 1, 1) AS ref, substr('ACGT', line % 4 + 1, 1) AS base, nm + 20 AS bq, mapq, round(1 - nm * 1.0 / reflen, 6) AS match
+ FROM aln WHERE (flag & 3844) = 0 AND ((flag & 1) = 0 OR (flag & 2) <> 0) AND mapq >= 10 AND nm <= reflen * 0.2),
+ counts AS (SELECT chrom, pos, ref, base, count(*) AS n FROM pile GROUP BY ALL),
+ best AS (SELECT chrom, pos, ref, min((-n, base)) FILTER (base <> ref) AS b, sum(n) AS depth FROM counts GROUP BY ALL),
+ sites AS (SELECT chrom, pos, ref, b[2] AS alt, -b[1] AS n, depth FROM best WHERE b IS NOT NULL AND -b[1] >= 2 AND -b[1] >= depth * 0.1) """
+
+
+def _pile(spark, d):
+    c = F.col
+    good = aln(spark, d).where(A.good_alignment(c("flag")) & (c("mapq") >= 10) & (c("nm") <= c("reflen") * 0.2))
+    pick = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
+    return good.select("chrom", c("start").alias("pos"), pick(c("start")).alias("ref"), pick(c("line")).alias("base"), (c("nm") + 20).alias("bq"), "mapq", F.round(1 - c("nm") / c("reflen"), 6).alias("match"))
+
+
+@query(_PILE + "SELECT chrom, pos, ref, alt, n, cast(depth AS bigint) AS depth FROM sites")
+def candidate_sites(spark, d):
+    return variants.candidate_sites(_pile(spark, d))
+
+
+@query(_PILE + """, weighed AS (SELECT chrom, pos, p.ref, alt, base, pow(10.0, -least(bq, mapq) * CASE WHEN base = p.ref THEN 1.0 ELSE match END / 10) AS e FROM pile p JOIN sites USING (chrom, pos)),
+ liked AS (SELECT *, CASE WHEN base = ref THEN greatest(1 - e, 1e-6) ELSE e END AS r, CASE WHEN base = alt THEN greatest(1 - e, 1e-6) ELSE e END AS a FROM weighed),
+ sums AS (SELECT chrom, pos, ref, alt, sum(ln(r)) + ln(0.999) AS s0, sum(ln((r + a) / 2)) + ln(0.0005) AS s1, sum(ln(a)) + ln(0.0005) AS s2 FROM liked GROUP BY ALL),
+ tops AS (SELECT *, greatest(s0, s1, s2) AS top FROM sums), post AS (SELECT *, exp(s0 - top) / (exp(s0 - top) + exp(s1 - top) + exp(s2 - top)) AS p0, exp(s0 - top) + exp(s1 - top) + exp(s2 - top) AS t FROM tops)
+ SELECT chrom, pos, ref, alt, CASE WHEN s1 >= s2 THEN ref || '/' || alt ELSE alt || '/' || alt END AS genotype, round(exp(greatest(s1, s2) - top) / t, 6) AS posterior,
+ round(CASE WHEN p0 <= 0 THEN 3000.0 ELSE least(greatest(-10 * log10(p0), 0), 3000) END, 4) AS quality FROM post
+ WHERE CASE WHEN p0 <= 0 THEN 3000.0 ELSE least(greatest(-10 * log10(p0), 0), 3000) END >= 13""")
+def snp_calls(spark, d):
+    out = variants.snp_calls(_pile(spark, d), least_quality=13)
+    return out.select("chrom", "pos", "ref", "alt", "genotype", r6("posterior", "posterior"), F.round("quality", 4).alias("quality"))
+
+
+# Operations of an alignment, written as text from the columns and read back
+
+
+@query("""SELECT name, line, start + reflen + nm + mate % 7 AS ref_end, reflen + mapq % 9 + nm AS read_len, mapq % 9 AS inserted, mate % 7 AS lost, line AS head, mapq % 5 AS tail, greatest(mapq % 9, mate % 7) AS max_gap,
+ 1 + CASE WHEN mapq % 9 > 0 THEN 1 ELSE 0 END AS n_matched FROM aln WHERE nm > 0""")
+def cigar_measures(spark, d):
+    c = F.col
+    some = lambda n, op: F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise("")
+    text = F.concat(F.lit("2H"), some(c("line"), "S"), some(c("reflen"), "M"), some(c("mapq") % 9, "I"), some(c("mate") % 7, "D"), F.when(c("mapq") % 9 > 0, some(c("nm"), "=")).otherwise(some(c("nm"), "X")), some(c("mapq") % 5, "S"))
+    rows = aln(spark, d).where("nm > 0").withColumn("ops", A.cigar(text))
+    ops = c("ops")
+    return rows.where(A.cigar_text(ops) == text).select(
+        "name", "line", A.reference_end(c("start"), ops).alias("ref_end"), A.read_length(ops).alias("read_len"), A.cigar_sum(ops, "I").alias("inserted"), A.cigar_sum(ops, "D").cast("bigint").alias("lost"),
+        A.head_clip(ops).alias("head"), A.tail_clip(ops).alias("tail"), A.max_gap(ops).cast("bigint").alias("max_gap"), A.cigar_count(ops, "M=").alias("n_matched"),
+    )
+
+
+@query("""SELECT name, line, mapq + nm + line AS matches, line % 3 + 1 AS mismatches, 1 AS deletes FROM aln""")
+def md_measures(spark, d):
+    c = F.col
+    text = F.concat(c("mapq").cast("string"), F.lit("A"), F.when(c("line") % 3 > 0, "0C").otherwise(""), F.when(c("line") % 3 > 1, "0G").otherwise(""), c("nm").cast("string"), F.lit("^ACGT"), c("line").cast("string"))
+    rows = aln(spark, d).withColumn("md", text)
+    return rows.select("name", "line", A.md_matches(c("md")).alias("matches"), A.md_mismatches(c("md")).alias("mismatches"), A.md_deletes(c("md")).alias("deletes"))
+
+
 @query("SELECT chrom, least(start // 500, 3) AS bin, count(*) AS n FROM aln GROUP BY ALL")
 def bin_index_histogram(spark, d):
     return aln(spark, d).groupBy("chrom", S.bin_index(F.col("start"), [0, 500, 1000, 1500]).cast("long").alias("bin")).agg(F.count("*").alias("n"))
@@ -305,14 +361,14 @@ def _runs_sql(inner: str) -> str:
 
 
 @query(_runs_sql("SELECT c AS base, len, count(*) AS n FROM run GROUP BY ALL"))
-def homopolymer_runs(spark, d):
-    runs = reads(spark, d).where("length(seq) > 0").select(F.explode(S.homopolymer_runs(F.col("seq"))).alias("x"))
+def base_runs(spark, d):
+    runs = reads(spark, d).where("length(seq) > 0").select(F.explode(S.base_runs(F.col("seq"))).alias("x"))
     return runs.groupBy(F.col("x.base").alias("base"), F.col("x.len").cast("long").alias("len")).agg(F.count("*").alias("n"))
 
 
 @query(_runs_sql("SELECT r.read_id, coalesce(max(len), 0) AS longest FROM reads r LEFT JOIN run USING (read_id) GROUP BY r.read_id"))
-def max_homopolymer(spark, d):
-    return reads(spark, d).select("read_id", S.max_homopolymer(F.col("seq")).cast("long").alias("longest"))
+def longest_base_run(spark, d):
+    return reads(spark, d).select("read_id", S.longest_base_run(F.col("seq")).cast("long").alias("longest"))
 
 
 @query(_runs_sql("SELECT r.read_id, coalesce(string_agg(c, '' ORDER BY i), '') AS signature FROM reads r LEFT JOIN run USING (read_id) GROUP BY r.read_id"))
@@ -411,9 +467,11 @@ def snp_blocks(spark, d):
 
 @query()
 def upgma_clusters(spark, d):
-    """Average-linkage clusters of embeddings within each label and block of 64 ids, by cosine distance."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.concat_ws(":", "label", F.floor(F.col("vec_id") / 64)).alias("key"))
-    pairs = v.select("key", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("key", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "key").where("a < b")
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda m, n: m.cast("double") * n), F.lit(0.0), lambda s, t: s + t)
+    """Average-linkage clusters of the labels, by the cosine distance of the means of all their embeddings."""
+    each = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = each.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v")).withColumn("key", F.lit(0))  # as many as there are dimensions
+    pairs = means.select("key", F.col("label").alias("a"), F.col("v").alias("x")).join(means.select("key", F.col("label").alias("b"), F.col("v").alias("y")), "key").where("a < b")
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda m, n: m * n), F.lit(0.0), lambda s, t: s + t)
     cos = dot(F.col("x"), F.col("y")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))
     return kernels.clusters(pairs.select("key", "a", "b", (1 - cos).alias("d")), "key", 0.9)

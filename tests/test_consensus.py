@@ -54,6 +54,6 @@ def test_path_variants(spark):
 
 def test_error_statistics(spark):
     runs = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (8, 9), (0, 3), (3, 0)], "ref_run int, read_run int")
-    assert {tuple(r) for r in E.homopolymer_calls(runs).collect()} == {(1, 2, 1, 0), (2, 1, 0, 1), (6, 1, 1, 0)}
+    assert {tuple(r) for r in E.run_length_calls(runs).collect()} == {(1, 2, 1, 0), (2, 1, 0, 1), (6, 1, 1, 0)}
     reads = spark.createDataFrame([(0, 13, "13M", "ACGTTTGCCCAGT", "I" * 13, "7A5")], "pos long, end long, cigar string, seq string, qual string, md string").withColumn("ops", A.cigar(F.col("cigar")))
     assert [tuple(r) for r in E.by_read_position(reads, [0, 5, 10]).collect()] == [(1, 1, 1.0)]

@@ -78,7 +78,7 @@ def test_flags(spark):
 
 def test_sequences(spark):
     df = spark.createDataFrame([("AACCCGT",), ("ACGTN",), ("ACGACG",), ("",)], "s string")
-    rows = df.select(S.signature(F.col("s")), S.max_homopolymer(F.col("s")), S.reverse_complement(F.col("s")), S.ambiguous(F.col("s"))).collect()
+    rows = df.select(S.signature(F.col("s")), S.longest_base_run(F.col("s")), S.reverse_complement(F.col("s")), S.ambiguous(F.col("s"))).collect()
     assert rows[0][:2] == ("ACGT", 3) and rows[1][2] == "NACGT" and rows[1][3] == 1 and rows[3][:3] == ("", 0, "")
     assert {(r.kmer, r.n) for r in R.kmer_counts(spark.createDataFrame([("ACGACG",), ("AC",)], "seq string"), 3).collect()} == {("ACG", 2), ("CGA", 1), ("GAC", 1)}
     assert S.kmers and [x.start for x in spark.createDataFrame([("chr1:3-7",), ("chr1:3..7",), ("chr1:5",), ("chr1",)], "t string").select(S.region(F.col("t")).alias("r")).select("r.*").collect()] == [2, 2, 4, None]
@@ -154,6 +154,33 @@ def test_blocks(spark):
     assert [(x.start, x.end) for x in kernels.blocks(sites).orderBy("start").collect()] == [(10, 13), (40, 41), (100, 101)]
 
 
+def test_blocks_go_on_over_stretches(spark):
+    r = np.random.default_rng(8)
+    pos = {c: np.unique(np.cumsum(r.choice([1, 2, 5, 30, 200], 400, p=[0.5, 0.2, 0.15, 0.1, 0.05]))).tolist() for c in "ab"}
+    want = set()
+    for c, places in pos.items():
+        left = right = None
+        for p in places:
+            if left is not None and p - right < 0.1 * (p - left):
+                right = p + 1
+            else:
+                want |= {(c, left, right)} if left is not None else set()
+                left, right = p, p + 1
+        want.add((c, left, right))
+    sites = spark.createDataFrame([(c, p) for c in pos for p in pos[c] * 2], "chrom string, pos long")
+    for span in (50, 700, 1_000_000):
+        assert {tuple(x) for x in kernels.blocks(sites, span=span).select("chrom", "start", "end").collect()} == want
+
+
+def test_snp_calls(spark):
+    rows = [("c", 5, "A", b, 30, 40, 0.98) for b in "AAAAACCCCC"] + [("c", 6, "A", b, 30, 40, 0.98) for b in "GGGGGGG"] + [("c", 7, "A", b, 30, 40, 0.98) for b in "AAAAAAAAAC"]
+    pile = spark.createDataFrame(rows, "chrom string, pos long, ref string, base string, bq int, mapq int, match double")
+    assert {(x.pos, x.alt, x.genotype) for x in variants.snp_calls(pile).collect()} == {(5, "C", "A/C"), (6, "G", "G/G")}
+    q = variants.allele_quality(F.col("base"), F.col("ref"), F.col("bq"), F.col("mapq"), F.col("match"))
+    shown = spark.createDataFrame([("A", "A", 30, 20, 0.5), ("C", "A", 30, 20, 0.5), ("-", "A", 10, 20, 0.5)], "base string, ref string, bq int, mapq int, match double")
+    assert [x[0] for x in shown.select(q).collect()] == [20, 10, 10]
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("read_1", 5), ("read_22", 50), ("other", 7)], "name string, mapq int")
     f = {"a": rules.token(F.col("name"), "read*"), "b": rules.token(F.col("mapq"), ">=10", True), "c": rules.token(F.col("name"), "*ther")}
