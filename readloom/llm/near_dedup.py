@@ -33,7 +33,7 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that are compared with one copy of their leader's text.
-SHARE = 2000
+SHARE = 250
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -279,8 +279,8 @@ def _across(met: DataFrame, of: DataFrame, sets: DataFrame, least: float) -> Dat
     near = left.join(right, F.expr(need))
     pairs = near.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     pairs = stored(pairs, "difference-pairs")
-    crowd = pairs.groupBy("a").agg(F.count("*").alias("crowd"))
-    return _verified(pairs.join(crowd, "a"), sets, least)
+    crowd = stored(pairs.groupBy("a").agg(F.count("*").alias("crowd")), "difference-crowds")
+    return _verified(join_groups(pairs, crowd, "a", "crowd", max(1, pairs.count())), sets, least)
 
 
 def _classified(docs: DataFrame, least: float) -> DataFrame:
