@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def fit(rows: DataFrame) -> Model | None:
         for b in batches:
             z = fourier(model.standard(_rows(b)))
             gram += z.T @ np.hstack([z, b.column("y").to_numpy()[:, None]])
-        part = np.random.default_rng().integers(64)
+        part = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays([pa.array(range(len(gram)), pa.int32()), pa.array([int(part)] * len(gram), pa.int32()), pa.array(gram.tolist(), pa.list_(pa.float64()))], ["i", "part", "row"])
 
     def added(name: str) -> F.Column:

@@ -55,3 +55,21 @@ def test_operator(spark):
     assert a == b
     assert {x.score for x in Q.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert Q.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_summed_equations_equal_one_direct_fit(spark):
+    """Weights and scores are those of one ridge fit and one isotonic fit over all labelled rows."""
+    r = random.Random(9)
+    words = ["the", "of", "thing", "Wander", "oning.", "###", "rally", "7"]
+    rows = [(Q.statistics(" ".join(r.choice(words) for _ in range(r.randint(0, 60)))), float(r.random() < 0.6), i % 5 == 0) for i in range(300)]
+    model = Q.fit(spark.createDataFrame(rows, "stats array<double>, y double, spare boolean").repartition(7))
+    stats, y, spare = np.array([x[0] for x in rows], float), np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+    mean, scale = stats[~spare].mean(0), np.maximum(stats[~spare].std(0), 1e-9)
+    z = Q.fourier(np.clip((stats - mean) / scale, -Q.CLIP, Q.CLIP))
+    weight = np.linalg.solve(z[~spare].T @ z[~spare] + Q.RIDGE * np.eye(z.shape[1]), z[~spare].T @ y[~spare])
+    assert np.allclose(model.raw_scores(stats), z @ weight, atol=1e-6)
+    at = np.clip(((z @ weight + 0.5) / 2 * Q.BINS).astype(int), 0, Q.BINS - 1)[spare]
+    bins = np.unique(at)
+    n, total = np.array([(at == b).sum() for b in bins], float), np.array([y[spare][at == b].sum() for b in bins])
+    assert np.allclose(model.raw, (bins + 0.5) / Q.BINS * 2 - 0.5) and np.allclose(model.score, Q.isotonic(n, total))
+    assert np.allclose(model.scores(stats), np.clip(np.interp(z @ weight, model.raw, model.score), 0, 1), atol=1e-6)
