@@ -164,3 +164,45 @@ def identity(ops: Column, nm: Column) -> Column:
     """(m - nm) / m of the matched columns."""
     m = cigar_sum(ops, "M=X")
     return F.when(m > 0, (m - nm) / m)
+
+
+def read_name(name: Column, flag: Column) -> Column:
+    """The name, with `.1` or `.2` for the first and second read of a pair."""
+    return F.concat(name, F.when(has_flag(flag, PAIRED) & has_flag(flag, FIRST), ".1").when(has_flag(flag, PAIRED) & has_flag(flag, SECOND), ".2").otherwise(""))
+
+
+def read_id(name: Column, flag: Column) -> Column:
+    return F.concat_ws(":", name, flag.cast("string"))
+
+
+def bed_row(chrom: Column, pos: Column, name: Column, mapq: Column, ops: Column, nm: Column, seq: Column, qual: Column) -> Column:
+    """A read as one struct: interval, name, quality, CIGAR, identity, lengths, clips, bases."""
+    return F.struct(
+        chrom.alias("chrom"), pos.alias("start"), reference_end(pos, ops).alias("end"), name.alias("name"), mapq.alias("mapq"), cigar_text(ops).alias("cigar"),
+        identity(ops, nm).alias("identity"), read_length(ops).alias("read_length"), head_clip(ops).alias("head"), tail_clip(ops).alias("tail"), seq.alias("seq"), qual.alias("qual"),
+    )
+
+
+def clip_sites(ops: Column, pos: Column, seq: Column, least: int = 1) -> Column:
+    """Array of (side, pos, seq): clipped ends of `least` or more bases, the head at the start, the tail at the end."""
+    head, tail = head_clip(ops), tail_clip(ops)
+    kind = "array<struct<side:string,pos:bigint,seq:string>>"
+    one = lambda side, at, text, n: F.when(n >= least, F.array(F.struct(F.lit(side).alias("side"), at.cast("bigint").alias("pos"), text.alias("seq")))).otherwise(F.array().cast(kind))
+    return F.concat(one("head", pos, F.left(seq, head), head), one("tail", reference_end(pos, ops), F.right(seq, tail), tail))
+
+
+def tags(fields: Column) -> Column:
+    """Optional fields `NM:i:2` as a map from tag to (type, value); of a tag that comes twice the last counts."""
+    parts = F.filter(fields, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:"))
+    one = lambda x: F.struct(F.left(x, F.lit(2)).alias("key"), F.struct(F.substring(x, 4, 1).alias("type"), F.substring(x, 6, 1 << 30).alias("value")).alias("value"))
+    last = F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda y: F.left(y, F.lit(2)) == F.left(x, F.lit(2))))
+    return F.map_from_entries(F.transform(last, one))
+
+
+def with_tag(found: Column, tag: str, kind: str, value: Column) -> Column:
+    """Tags with one set, new or not."""
+    return F.map_concat(F.map_filter(found, lambda k, v: k != tag), F.create_map(F.lit(tag), F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"))))
+
+
+def without_tag(found: Column, tag: str) -> Column:
+    return F.map_filter(found, lambda k, v: k != tag)

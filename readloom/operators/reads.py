@@ -35,6 +35,16 @@ def spectrum_cosine(counts: DataFrame, key: str) -> DataFrame:
     return dot.join(named("a"), "a").join(named("b"), "b").select("a", "b", (F.col("dot") / (F.col("n_a") * F.col("n_b"))).alias("cosine"))
 
 
+def cosine_between(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, cosine of the k-mer spectra of every group of left(a, kmer, n) with every group of right(b, kmer, n) that
+    it shares a k-mer with."""
+    norm = lambda t, k: t.groupBy(k).agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias(f"n_{k}"))
+    both = left.select(F.col(a), "kmer", F.col("n").alias("x")).join(right.select(F.col(b), "kmer", F.col("n").alias("y")), "kmer")
+    dot = both.groupBy(a, b).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("dot"))
+    out = dot.alias("d").join(norm(left, a).alias("l"), F.col(f"d.{a}").eqNullSafe(F.col(f"l.{a}"))).join(norm(right, b).alias("r"), F.col(f"d.{b}").eqNullSafe(F.col(f"r.{b}")))
+    return out.select(F.col(f"d.{a}").alias("a"), F.col(f"d.{b}").alias("b"), (F.col("dot") / (F.col(f"n_{a}") * F.col(f"n_{b}"))).alias("cosine"))
+
+
 def unique_sequences(reads: DataFrame, least: int = 1) -> DataFrame:
     """Distinct sequences of reads(read_id, seq) with how often each comes and the smallest id as representative."""
     return reads.groupBy("seq").agg(F.min("read_id").alias("read_id"), F.count("*").alias("n")).where(F.col("n") >= least)

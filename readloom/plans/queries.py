@@ -18,11 +18,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = WITH + "\n" + sql
+            ORACLE_SQL[f.__name__] = (WITH.replace("WITH", "WITH RECURSIVE", 1) if recursive else WITH) + "\n" + sql
         return f
 
     return add
@@ -460,11 +460,6 @@ def haplotype_selection(spark, d):
     return kernels.haplotypes(hits)
 
 
-@query()
-def snp_blocks(spark, d):
-    return kernels.blocks(aln(spark, d).select("chrom", F.col("start").alias("pos")))
-
-
 @query()
 def upgma_clusters(spark, d):
     """Average-linkage clusters of the labels, by the cosine distance of the means of all their embeddings."""

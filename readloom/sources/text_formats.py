@@ -169,3 +169,89 @@ def read_triples(spark: SparkSession, *paths: str) -> DataFrame:
     """a, b, d from lines of two names and a distance."""
     parts = F.split(F.trim("value"), r"\s+")
     return spark.read.text(list(paths)).select(F.try_element_at(parts, F.lit(1)).alias("a"), F.try_element_at(parts, F.lit(2)).alias("b"), F.try_element_at(parts, F.lit(3)).try_cast("double").alias("d")).where("d is not null")
+
+
+def write_model(weights: DataFrame, path: str) -> None:
+    """Weights (feature, weight) as lines that read_model reads."""
+    weights.select(F.concat_ws(TAB, "feature", F.col("weight").cast("string")).alias("value")).write.text(path)
+
+
+def read_frequencies(spark: SparkSession, *paths: str) -> DataFrame:
+    """name, n from lines of a name and a count; lines without a count are left out."""
+    rows = _fields(spark.read.text(list(paths)), ["name", "n"])
+    return rows.select("name", F.col("n").try_cast("bigint").alias("n")).where("n is not null")
+
+
+def read_local_bins(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, start, end, bin, read of files of bins: a line `#bin ...` begins a bin, the lines behind it are its reads.
+
+    Start and end are the last two numbers in the file's name.  A file is one window's reads and is read as one row.
+    """
+    whole = spark.read.text(list(paths), wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    numbers = F.regexp_extract_all("file", F.lit(r"(?<=[_.])(\d+)(?=[_.])"), F.lit(1))
+    parts = whole.select("file", F.try_element_at(numbers, F.lit(-2)).cast("bigint").alias("start"), F.try_element_at(numbers, F.lit(-1)).cast("bigint").alias("end"), F.explode(F.split("value", r"(?:^|\n)#")).alias("part")).where("part <> ''")
+    lines = F.split("part", r"\r?\n")
+    each = parts.select("file", "start", "end", F.regexp_extract(lines[0], r"^(\S+)", 1).try_cast("int").alias("bin"), F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("read"))
+    return each.where("bin is not null and read <> ''")
+
+
+def read_biadjacency(spark: SparkSession, path: str) -> DataFrame:
+    """read, consensus, cost of a table whose first line names the consensus sequences behind its first field; zeros are
+    left out."""
+    lines = spark.read.text(path)
+    head = [r.value for r in lines.limit(1).collect()]
+    names = head[0].split(TAB)[1:] if head else []
+    parts = F.split("value", TAB)
+    cells = F.arrays_zip(F.array(*map(F.lit, names)).cast("array<string>").alias("consensus"), F.slice(parts, 2, len(names) or 1).alias("cost"))
+    rows = lines.where(F.col("value") != F.lit(head[0] if head else "")).select(parts[0].alias("read"), F.explode(cells).alias("x"))
+    return rows.select("read", F.col("x.consensus").alias("consensus"), F.col("x.cost").try_cast("double").alias("cost")).where("cost > 0")
+
+
+def newick_edges(trees: DataFrame) -> DataFrame:
+    """tree, node, parent, name, length of trees(tree, text) in bracket form; nodes are numbered by where they end.
+
+    A node's parent is the next one behind it that is less deep; roots have none.
+    """
+    token = F.regexp_extract_all("text", F.lit(r"[(),;]|[^(),;]+"), F.lit(0))
+    kind = "array<struct<depth:int,label:string>>"
+
+    def step(a: Column, t: Column) -> Column:
+        label = ~t.isin("(", ")", ",", ";")
+        closes = t.isin(")", ",", ";")
+        node = F.array(F.struct(a["depth"].alias("depth"), a["label"].alias("label"))).cast(kind)
+        return F.struct(
+            (a["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"),
+            F.when(label, F.trim(t)).when(closes | (t == "("), F.lit("")).otherwise(a["label"]).alias("label"),
+            F.when(closes, F.concat(a["out"], node)).otherwise(a["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("label"), F.array().cast(kind).alias("out"))
+    nodes = trees.select("tree", F.aggregate(token, start, step, lambda a: a["out"]).alias("n"))
+    above = lambda x, i: F.try_element_at(F.filter(F.sequence(i + 1, F.size("n")), lambda j: (j > i + 1) & (F.element_at("n", j)["depth"] < x["depth"])), F.lit(1))
+    rows = nodes.select("tree", F.posexplode(F.transform("n", lambda x, i: F.struct((above(x, i) - 1).alias("parent"), x["label"].alias("label")))).alias("node", "x"))
+    length = F.regexp_extract("x.label", r":\s*([-+0-9.eE]+)\s*$", 1).try_cast("double")
+    return rows.select("tree", "node", F.col("x.parent").alias("parent"), F.trim(F.regexp_replace("x.label", r":.*$", "")).alias("name"), length.alias("length"))
+
+
+def sample_vcf_lines(variants: DataFrame, samples: list[str]) -> DataFrame:
+    """VCF lines (value) of variants(chrom, pos, ref, alts, samples: array of (path_id, allele)), a column per sample.
+
+    A sample has the number of its alternative, 0 for the reference.
+    """
+    spark = variants.sparkSession
+    head = ["##fileformat=VCFv4.1", VCF_HEAD[-1], TAB.join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    allele = lambda s: F.coalesce(F.try_element_at(F.transform(F.filter("samples", lambda x: x["path_id"].cast("string") == s), lambda x: x["allele"]), F.lit(1)), F.lit(0)).cast("string")
+    line = F.concat_ws(TAB, "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), *map(allele, samples))
+    body = variants.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    return spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).unionByName(body.select(line.alias("value")))
+
+
+def pair_fastq(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records (name, seq, qual) of the first and of the second reads of pairs that are both there, in the order of
+    names; reads of the reverse strand are turned back."""
+    back = A.has_flag(F.col("flag"), A.REVERSE)
+    seq = F.when(back, F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca"))).otherwise(F.col("seq"))
+    primary = reads.where(A.passes_mask(F.col("flag"), A.SECONDARY | A.SUPPLEMENTARY)).select("name", "flag", seq.alias("seq"), F.when(back, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
+    side = [primary.where(A.has_flag(F.col("flag"), bit)).drop("flag") for bit in (A.FIRST, A.SECOND)]
+    one, two = (s.join(t.select("name"), "name", "left_semi").orderBy("name") for s, t in (side, side[::-1]))
+    return one, two

@@ -9,6 +9,7 @@ from readloom.functions import alignments as A
 from readloom.functions import sequences as S
 from readloom.operators import intervals, kernels, rules, variants
 from readloom.operators import reads as R
+from readloom.operators.sites import growing_blocks
 from readloom.sources import text_formats as T
 
 SAM = [
@@ -151,7 +152,7 @@ def test_clusters_and_haplotypes(spark):
 
 def test_blocks(spark):
     sites = spark.createDataFrame([("c", p) for p in (10, 11, 12, 40, 100)], "chrom string, pos long")
-    assert [(x.start, x.end) for x in kernels.blocks(sites).orderBy("start").collect()] == [(10, 13), (40, 41), (100, 101)]
+    assert [(x.start, x.end) for x in growing_blocks(sites).orderBy("start").collect()] == [(10, 13), (40, 41), (100, 101)]
 
 
 def test_blocks_go_on_over_stretches(spark):
@@ -169,7 +170,7 @@ def test_blocks_go_on_over_stretches(spark):
         want.add((c, left, right))
     sites = spark.createDataFrame([(c, p) for c in pos for p in pos[c] * 2], "chrom string, pos long")
     for span in (50, 700, 1_000_000):
-        assert {tuple(x) for x in kernels.blocks(sites, span=span).select("chrom", "start", "end").collect()} == want
+        assert {tuple(x) for x in growing_blocks(sites, span=span).select("chrom", "start", "end").collect()} == want
 
 
 def test_snp_calls(spark):
