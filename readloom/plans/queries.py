@@ -419,10 +419,8 @@ _STEPS = """, steps AS (SELECT user_id, row_number() OVER (PARTITION BY user_id
 
 
 def _steps(spark, d):
-    row = F.struct(F.col("ts"), F.col("event_id"), F.col("event_type"))
-    each = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(row)).alias("e"))  # one user's events
-    path = F.transform("e", lambda x, i: F.struct((i + 1).cast("bigint").alias("pos"), F.lit(0).alias("off"), x["event_type"].alias("base")))
-    return consensus.edges(each.select((F.col("user_id") % 16).alias("window"), path.alias("path")))
+    rows = table(spark, d, "events").withColumn("window", F.col("user_id") % 16)
+    return consensus.step_edges(rows, "window", "user_id", ["ts", "event_id"], "event_type")
 
 
 @query(_STEPS + 'SELECT win AS "window", pos, u, v, n, round(out_, 6) AS "out", round(into_, 6) AS "into" FROM w')
