@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.intervals import SPAN, running
+
 #: k-mers that are cut out of one part of a sequence.
 BLOCK = 64
 
@@ -79,14 +81,13 @@ def downsample(rows: DataFrame, keys: list[str], identity: list[str], depth: int
     return top_k(rows, keys, [F.xxhash64(F.lit(seed), *identity), *map(F.col, identity)], depth)
 
 
-def nx(lengths: DataFrame, shares: list[float]) -> DataFrame:
+def nx(lengths: DataFrame, shares: list[float], span: int = SPAN) -> DataFrame:
     """N50 and the like of lengths(length): the length at which pieces that long or longer hold the share of all bases.
 
-    Equal lengths are counted first, so the running sum goes over distinct lengths.
+    Equal lengths are counted first, so the running sum goes over distinct lengths, the longest first.
     """
-    counts = lengths.groupBy("length").agg(F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.withColumn("sum", F.sum(F.col("length") * F.col("n")).over(down))
+    counts = lengths.groupBy("length").agg(F.count("*").alias("n")).withColumn("shorter", -F.col("length"))
+    run = running(counts, [], "shorter", F.sum, F.col("length") * F.col("n"), "sum", span)
     total = counts.agg(F.sum(F.col("length") * F.col("n")).alias("total"))
     shared = F.explode(F.array(*map(F.lit, shares))).alias("share")
     return run.join(F.broadcast(total)).select("length", "sum", "total", shared).where(F.col("sum") >= F.col("share") * F.col("total")).groupBy("share").agg(F.max("length").alias("length"))

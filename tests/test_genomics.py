@@ -104,6 +104,35 @@ def test_intervals_against_brute_force(spark):
     assert sorted((x.chrom, x.start, x.end) for x in once.collect()) == sorted((x.chrom, x.start, x.end) for x in twice.collect())
 
 
+@pytest.mark.parametrize("span", [1, 16, 10_000])
+def test_stretches_change_nothing(spark, span):
+    r = random.Random(3)
+    a = [(r.choice(["c0", "c1", None]), s := r.randint(0, 300), s + r.choice([0, 1, 4, 90])) for _ in range(60)]
+    rows = spark.createDataFrame(a, "chrom string, start long, end long")
+    deep = {(c, p): n for c in ("c0", "c1", None) for p in range(400) if (n := sum(k == c and x <= p < y for k, x, y in a))}
+    got = intervals.depth(rows, span)
+    assert {(x.chrom, x.pos): x.depth for x in got.collect()} == deep and got.count() == len(deep)
+    for gap in (0, 3):
+        want: list = []
+        for c, x, y in sorted(a, key=lambda v: (v[0] or "", v[1], v[2])):
+            if want and want[-1][0] == c and x - want[-1][2] <= gap:
+                want[-1][2:] = [max(y, want[-1][2]), want[-1][3] + 1]
+            else:
+                want.append([c, x, y, 1])
+        assert sorted(map(repr, (list(x) for x in intervals.merged(rows, gap, span).collect()))) == sorted(map(repr, want))
+    want = []
+    for (c, p), n in sorted(deep.items(), key=lambda v: (v[0][0] or "", v[0][1])):
+        if n >= 2 and want and want[-1][:2] == [c, p - 1]:
+            want[-1] = [c, p, want[-1][2], want[-1][3] + n]
+        elif n >= 2:
+            want.append([c, p, p, n])
+    want = [(c, s, e + 1, round(n / (e + 1 - s), 9)) for c, e, s, n in want]
+    assert sorted(((x.chrom, x.start, x.end, round(x.mean_depth, 9)) for x in intervals.islands(got, 2, span).collect()), key=repr) == sorted(want, key=repr)
+    sizes = [r.randint(0, 60) for _ in range(80)]
+    got = {float(x.share): x.length for x in R.nx(spark.createDataFrame([(n,) for n in sizes], "length long"), [0.1, 0.5, 0.9], span).collect()}
+    assert got == {q: max(n for n in sizes if sum(x for x in sizes if x >= n) >= q * sum(sizes)) for q in (0.1, 0.5, 0.9)}
+
+
 def test_posteriors_sum_to_one(spark):
     r = random.Random(2)
     pile = spark.createDataFrame([("c", p, "A", "G", r.choice("AAGN"), r.randint(5, 40)) for p in range(20) for _ in range(r.randint(1, 300))], "chrom string, pos long, ref string, alt string, base string, q int")
