@@ -95,21 +95,23 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
     """Fingerprint every whole text of docs(doc_id, text) and its edited text, whose last floor(n/4) code points are
     replaced by the first as many (or all) of the document with the next larger doc_id (after the last: the first).
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  Null text counts
-    as empty.  Repeated rows of one doc_id: one of them (the largest text) is reported.  A null doc_id comes before all
-    others.  A table of one document has it follow itself; an empty one gives no rows.
+    Returns one row per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  Null
+    text counts as empty.  Rows that share a doc_id are all followed by the next larger doc_id, and the row with the
+    largest text follows the doc_id before them.  A null doc_id comes before all others.  A table of one doc_id has it
+    follow itself; an empty one gives no rows.
     """
     texts = texts_of(docs)
-    links = following(texts)
-    if links.groupBy().agg(F.count("*").alias("n")).first().n != texts.count():
-        texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-        links = following(texts)
-    links = stored(links, "id-links")
-    rows = texts.join(links.withColumnRenamed("doc_id", "_id"), texts["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    # A document hands the document before it what that needs: the head of its text, and its signatures.
-    heads = rows.select(F.col("prev_id").alias("_to"), F.expr("left(text, cast(prev_n div 4 as int))").alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    links = stored(following(texts), "id-links")
+    near = links.select(F.col("doc_id").alias("_id"), "prev_id", "prev_n")
+    # Where ids come once, as they should, the rows themselves are what follows; else one row of each id is.
+    once = links.count() == texts.count()
+    after = texts if once else texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+    after = after.join(near, after["doc_id"].eqNullSafe(F.col("_id")))
+    # A document hands the document before it what its longest row needs: the head of its text, and its signatures.
+    heads = after.select(F.col("prev_id").alias("_to"), F.expr("left(text, cast(prev_n div 4 as int))").alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    rows = texts.withColumn("n", F.length("text"))
     joined = rows.join(heads, rows["doc_id"].eqNullSafe(F.col("_to")))
-    edited = F.concat(F.expr("left(text, cast(n - n div 4 as int))"), F.col("head"))
+    edited = F.concat(F.expr("left(text, cast(n - n div 4 as int))"), F.expr("left(head, cast(n div 4 as int))"))
     joined = joined.select("doc_id", F.col("n").cast("long").alias("n_chars"), signatures(F.col("text")).alias("sigs"), "next_sigs", edited.alias("edited"))
     joined = joined.select("*", signatures(F.col("edited")).alias("edited_sigs"))
     return joined.select(

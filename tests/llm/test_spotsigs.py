@@ -64,8 +64,19 @@ def test_odd_tables(spark):
     one = spark.createDataFrame([(5, "the cat dog the cat dog")], "doc_id long, text string")
     assert [x.near_next for x in S.neighbour_report(one).collect()] == [1.0]
     assert S.neighbour_report(one.limit(0)).count() == 0
-    odd = spark.createDataFrame([(None, "the cat dog"), (1, "of cat dog"), (1, "of cat dog"), (2, None)], "doc_id long, text string")
-    assert sorted(str(x.doc_id) for x in S.neighbour_report(odd).collect()) == ["1", "2", "None"]
+    odd = [(None, "the cat dog"), (None, "a"), (None, "the cat dog"), (1, "of cat dog"), (1, "of cat dog"), (1, "the cow ran off to the far field"), (2, None), (7, "end of the known world")]
+    table = spark.createDataFrame(odd, "doc_id long, text string")
+    got = sorted((str(x.doc_id), x.n_chars, x.edited_sha256, round(x.near_next, 9)) for x in S.neighbour_report(table).collect())
+    largest = {}
+    for i, t in odd:
+        largest[i] = max(largest.get(i, ""), t or "")
+    order = [None, 1, 2, 7]
+    want = []
+    for i, t in odd:
+        t, after = t or "", largest[order[(order.index(i) + 1) % 4]]
+        q = len(t) // 4
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest(), round(jaccard(brute_sigs(t), brute_sigs(after)), 9)))
+    assert got == sorted(want)
 
 
 def test_no_python_on_the_way(spark):
