@@ -103,13 +103,12 @@ def neighbour_report(docs: DataFrame) -> DataFrame:
     texts = texts_of(docs)
     links = stored(following(texts), "id-links")
     near = links.select(F.col("doc_id").alias("_id"), "prev_id", "prev_n")
-    # Where ids come once, as they should, the rows themselves are what follows; else one row of each id is.
+    rows = texts.join(near, texts["doc_id"].eqNullSafe(F.col("_id"))).drop("_id").withColumn("n", F.length("text"))
+    # Where ids come once, as they should, the rows themselves, as they are dealt here, are what follows; else one row of each id is.
     once = links.count() == texts.count()
-    after = texts if once else texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    after = after.join(near, after["doc_id"].eqNullSafe(F.col("_id")))
+    after = rows if once else rows.groupBy("doc_id", "prev_id", "prev_n").agg(F.max("text").alias("text"))
     # A document hands the document before it what its longest row needs: the head of its text, and its signatures.
     heads = after.select(F.col("prev_id").alias("_to"), F.expr("left(text, cast(prev_n div 4 as int))").alias("head"), signatures(F.col("text")).alias("next_sigs"))
-    rows = texts.withColumn("n", F.length("text"))
     joined = rows.join(heads, rows["doc_id"].eqNullSafe(F.col("_to")))
     edited = F.concat(F.expr("left(text, cast(n - n div 4 as int))"), F.expr("left(head, cast(n div 4 as int))"))
     joined = joined.select("doc_id", F.col("n").cast("long").alias("n_chars"), signatures(F.col("text")).alias("sigs"), "next_sigs", edited.alias("edited"))
