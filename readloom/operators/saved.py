@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterated tables in the folder that driver and executors share."""
+"""Cutting the lineage of iterated tables in the folder that driver and executors share; dealing rows to kernels."""
 
 from __future__ import annotations
 
@@ -22,3 +22,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="readloom-")
         sc.setCheckpointDir(named)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to spark.sql.shuffle.partitions tasks, never fewer.
+
+    For kernels: they take far longer than the bytes of their rows let adaptive execution guess, which would put small rows
+    into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
