@@ -5,6 +5,9 @@ Paths may be any that Spark reads, one file or many; compressed files are read a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,16 +84,49 @@ def write_fasta(records: DataFrame, path: str) -> None:
     records.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(path)
 
 
+def _fastq_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records, and the pieces of records at the edges of splits: a head that goes on in the next split, a rest of one."""
+    shape = ["name", "seq", "qual", "file", "at", "edge"]
+    held: tuple | None = None  # a record without qualities, and where its split ends
+    split: tuple | None = None
+    for f in frames:
+        rows: list[tuple] = []
+        for text, file, start, size in zip(f.value, f.file, f.start, f["size"], strict=True):
+            lines = [x.rstrip("\r") for x in text.rstrip("\r\n").split("\n")]
+            first, split = split != (file, start), (file, start)
+            if held and held[2:] != (file, start + size):
+                rows.append((*held[:2], None, *held[2:], "head"))
+                held = None
+            if len(lines) >= 3 and lines[2].startswith("+"):
+                name = (lines[0].removeprefix("@") if start == 0 else lines[0]).split(maxsplit=1)
+                one = (name[0] if name else "", lines[1])
+                if len(lines) > 3:
+                    rows.append((*one, lines[3], file, start, "whole"))
+                else:  # the qualities begin with @
+                    held = (*one, file, start + size)
+            elif held:
+                rows.append((*held[:2], "@" + lines[0], file, start, "whole"))
+                held = None
+            elif first:
+                rows.append((None, None, "@" + lines[0], file, start, "rest"))
+        yield pd.DataFrame(rows, columns=shape)
+    if held:
+        yield pd.DataFrame([(*held[:2], None, *held[2:], "head")], columns=shape)
+
+
 def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
     """name, seq, qual of four-line FASTQ records: `@name`, bases, `+`, qualities.
 
-    A record begins at `@` after a line end and has a `+` line in its middle, so a quality line that begins with `@`
-    begins none.  A file is one row here: shard large ones.
+    Files are read by splits, cut at `@` after a line end.  A quality line that begins with `@` is cut off its record there,
+    which then ends with its `+` line, and is put back; where a split ends in between, the two pieces meet by the split's
+    end.  Empty lines behind records are passed over.
     """
-    whole = spark.read.text(list(paths), wholetext=True)
-    found = F.regexp_extract_all("value", F.lit(r"(?m)^@([^\r\n]*\r?\n[^\r\n]*\r?\n)\+[^\r\n]*\r?\n([^\r\n]*)"), F.lit(0))
-    lines = F.split(F.col("record"), r"\r?\n")
-    return whole.select(F.explode(found).alias("record")).select(F.regexp_extract(lines[0], r"^@(\S+)", 1).alias("name"), lines[1].alias("seq"), lines[3].alias("qual"))
+    pieces = spark.read.option("lineSep", "\n@").text(list(paths))
+    pieces = pieces.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("size"))
+    found = pieces.mapInPandas(_fastq_pieces, "name string, seq string, qual string, file string, at long, edge string")
+    heads = found.where("edge = 'head'").select("name", "seq", "file", "at")
+    rests = found.where("edge = 'rest'").select("qual", "file", "at")
+    return found.where("edge = 'whole'").select("name", "seq", "qual").unionByName(heads.join(rests, ["file", "at"]).select("name", "seq", "qual"))
 
 
 def write_fastq(records: DataFrame, path: str) -> None:
@@ -185,11 +221,12 @@ def read_frequencies(spark: SparkSession, *paths: str) -> DataFrame:
 def read_local_bins(spark: SparkSession, *paths: str) -> DataFrame:
     """file, start, end, bin, read of files of bins: a line `#bin ...` begins a bin, the lines behind it are its reads.
 
-    Start and end are the last two numbers in the file's name.  A file is one window's reads and is read as one row.
+    Start and end are the last two numbers in the file's name.  A bin is one row until it's cut into lines; files are
+    read by splits.
     """
-    whole = spark.read.text(list(paths), wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    whole = spark.read.option("lineSep", "\n#").text(list(paths)).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     numbers = F.regexp_extract_all("file", F.lit(r"(?<=[_.])(\d+)(?=[_.])"), F.lit(1))
-    parts = whole.select("file", F.try_element_at(numbers, F.lit(-2)).cast("bigint").alias("start"), F.try_element_at(numbers, F.lit(-1)).cast("bigint").alias("end"), F.explode(F.split("value", r"(?:^|\n)#")).alias("part")).where("part <> ''")
+    parts = whole.select("file", F.try_element_at(numbers, F.lit(-2)).cast("bigint").alias("start"), F.try_element_at(numbers, F.lit(-1)).cast("bigint").alias("end"), F.regexp_replace("value", "^#", "").alias("part")).where("part <> ''")
     lines = F.split("part", r"\r?\n")
     each = parts.select("file", "start", "end", F.regexp_extract(lines[0], r"^(\S+)", 1).try_cast("int").alias("bin"), F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("read"))
     return each.where("bin is not null and read <> ''")
