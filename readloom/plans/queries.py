@@ -418,8 +418,8 @@ _STEPS = """, steps AS (SELECT user_id, row_number() OVER (PARTITION BY user_id
  w AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY win, pos, u) AS out_, n * 1.0 / sum(n) OVER (PARTITION BY win, pos, v) AS into_ FROM n) """
 
 
-def _steps(spark, d):
-    rows = table(spark, d, "events").withColumn("window", F.col("user_id") % 16)
+def _steps(spark, d, window="user_id % 16"):
+    rows = table(spark, d, "events").withColumn("window", F.expr(window))
     return consensus.step_edges(rows, "window", "user_id", ["ts", "event_id"], "event_type")
 
 
@@ -436,7 +436,8 @@ def edge_pruning(spark, d):
 
 @query()
 def top_paths(spark, d):
-    return consensus.top_paths(consensus.weighed(_steps(spark, d)), 5)
+    """Windows are 64 users each, so there are more of them with more data."""
+    return consensus.top_paths(consensus.weighed(_steps(spark, d, "user_id div 64")), 5)
 
 
 # Kernels, checked by tests against brute force
@@ -452,9 +453,9 @@ def sw_pairs(spark, d):
 
 @query()
 def haplotype_selection(spark, d):
-    """Haplotypes per customer segment: suppliers as haplotypes, orders as reads."""
+    """Haplotypes of each 64 orders: suppliers as haplotypes, orders as reads."""
     hits = aln(spark, d).groupBy("chrom", F.col("name").alias("read"), (F.col("mate") % 12).alias("haplotype")).agg(F.min("nm").alias("nm"), F.max("reflen").alias("length"))
-    hits = hits.select(F.concat_ws(":", "chrom", F.col("read") % 64).alias("window"), "read", F.lit(1).alias("n"), F.greatest("length", "nm").alias("length"), "haplotype", "nm")
+    hits = hits.select(F.concat_ws(":", "chrom", F.floor(F.col("read") / 64)).alias("window"), "read", F.lit(1).alias("n"), F.greatest("length", "nm").alias("length"), "haplotype", "nm")
     return kernels.haplotypes(hits)
 
 
