@@ -28,6 +28,21 @@ def good_alignment(flag: Column, keep_duplicates: bool = False) -> Column:
     return passes_mask(flag, bad) & (~has_flag(flag, PAIRED) | has_flag(flag, PROPER))
 
 
+def fit_to_realign(flag: Column, md: Column, length: Column, mapq: Column, mismatched: Column, least_length: int | None = None, least_mapq: int | None = None, most_mismatched: float | None = None, keep_duplicates: bool = False) -> Column:
+    """A good alignment with MD that is long enough, of enough mapping quality, and has at most a share of its bases mismatched.
+
+    Limits that are None don't hold; a null MD, or a null where a limit holds, doesn't fit.
+    """
+    fit = good_alignment(flag, keep_duplicates) & md.isNotNull()
+    if least_length is not None:
+        fit = fit & (length >= least_length)
+    if least_mapq is not None:
+        fit = fit & (mapq >= least_mapq)
+    if most_mismatched is not None:
+        fit = fit & (mismatched <= length * most_mismatched)
+    return F.coalesce(fit, F.lit(False))
+
+
 def cigar(text: Column) -> Column:
     """`5M1I3S` as an array of (op, len); `*` and null give an empty array."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+[MIDNSHP=X]"), F.lit(0))

@@ -51,6 +51,14 @@ def read_filter(spark, d):
     return aln(spark, d).where((c("mapq") >= 30) & (c("reflen") >= 20) & (c("nm") < c("reflen") * 0.1)).select("name", "chrom", "start", "mapq", "nm")
 
 
+@query("SELECT name, line, chrom, start FROM aln WHERE (flag & 3844) = 0 AND ((flag & 1) = 0 OR (flag & 2) <> 0) AND line % 5 <> 0 AND reflen >= 15 AND mapq >= 10 AND nm * 10 <= reflen")
+def realign_filter(spark, d):
+    """Reads fit to realign; those of every fifth line have no MD."""
+    c = F.col
+    md = F.when(c("line") % 5 != 0, c("reflen").cast("string"))
+    return aln(spark, d).where(A.fit_to_realign(c("flag"), md, c("reflen"), c("mapq"), c("nm"), 15, 10, 0.1)).select("name", "line", "chrom", "start")
+
+
 @query("SELECT chrom, count(*) AS n FROM aln WHERE mapq <= 20 AND nm > 0 AND nm < 0.25 * (reflen - nm) GROUP BY chrom")
 def dark_alignments(spark, d):
     c = F.col

@@ -292,3 +292,21 @@ def pair_fastq(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = [primary.where(A.has_flag(F.col("flag"), bit)).drop("flag") for bit in (A.FIRST, A.SECOND)]
     one, two = (s.join(t.select("name"), "name", "left_semi").orderBy("name") for s, t in (side, side[::-1]))
     return one, two
+
+
+def keep_samples(spark: SparkSession, names: list[str], *paths: str) -> DataFrame:
+    """value: the lines of VCF files with the fixed columns and those of the named samples alone, in the files' order.
+
+    Files share one `#CHROM` line, of which the driver reads one; other lines that begin with `#` stay as they are.  A name that
+    isn't there is an error.  Without any name, samples and the FORMAT column go.
+    """
+    lines = spark.read.text(list(paths))
+    head = lines.where(F.col("value").startswith("#CHROM")).first()
+    columns = head.value.split(TAB) if head else []
+    missing = set(names) - set(columns[9:])
+    if missing:
+        raise ValueError(f"no such samples: {sorted(missing)}")
+    kept = [i for i, c in enumerate(columns) if i < (9 if names else 8) or i > 8 and c in set(names)]
+    parts = F.split("value", TAB)
+    cut = F.concat_ws(TAB, *[F.try_element_at(parts, F.lit(i + 1)) for i in kept])
+    return lines.select(F.when(F.col("value").startswith("##"), F.col("value")).otherwise(cut).alias("value"))
