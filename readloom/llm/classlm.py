@@ -5,11 +5,15 @@ word is put where the class bigrams of the corpus become most likely.
 
 1. The START most frequent words exchange classes among themselves, on the driver, from the table of their bigrams, whose
    size is bounded by START alone.
-2. The other words of the HELD most frequent are put, by Spark, where their neighbours of step 1 make them likeliest.
-3. All other words of the corpus are put, by Spark, where their held neighbours make them likeliest.  There may be any
-   number of them, so they stay a table: their counts and classes meet the texts in joins.
+2. The other words of the MIDDLE most frequent are put, by Spark, where their neighbours of step 1 make them likeliest.
+   Then all but the START words leave their classes and are put again, with all MIDDLE words as neighbours.
+3. All other words of the corpus are put, by Spark, where their neighbours among the MIDDLE words make them likeliest.
+   There may be any number of them.
 
-So every word of the training texts has a class by exchange, and all counts are taken over all training texts.
+So every word of the training texts has a class by exchange, and all counts are taken over all training texts.  Texts are
+cut into tokens twice: to count these, and to write them as numbers, which all later steps read.  A number stands for one
+of the HELD most frequent words; the other words stand in a list beside the numbers, and their counts and classes meet
+the texts in joins.  How many words are held is a matter of memory alone: classes and scores don't depend on it.
 
     log P(text) = sum over tokens of log P(class | class before) + log P(token | class)
 """
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from readloom.llm.common import crc_mod, small_batches, stored, texts_of
 
 END = b"\n"  # can't be a word
-#: Words that exchange classes on the driver, words that every task holds, classes, rounds of exchange on the driver.
-START, HELD, CLASSES, ROUNDS = 1000, 200_000, 48, 6
+#: Words that exchange classes on the driver, words whose classes place all rarer words, classes, rounds of exchange.
+START, MIDDLE, CLASSES, ROUNDS = 2000, 20_000, 48, 6
+#: Words that every task holds (all MIDDLE words are among them): memory alone, no part of the model.
+HELD = 200_000
 #: Weight of a class's own frequency against its frequency after the class before.
 ALONE = 0.15
 FLUSH = 400_000
@@ -105,23 +111,48 @@ def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {END: sum(r.n for r in counts.where(F.col("token") == END).collect())} | {token: n for n, token in top}
 
 
-def start_bigrams(texts: DataFrame, words: list[bytes]) -> np.ndarray:
-    """How often each of the words follows each, over all texts."""
-    size = len(words)
+def coded(texts: DataFrame, words: list[bytes], *others: str) -> DataFrame:
+    """row, the other columns, ids and rare of each of texts(text): ids are the tokens' places in words as little-endian
+    32-bit numbers, -1 for those that aren't there, which stand in rare, in order.  row numbers the texts."""
     shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
+        for b in batches:
+            ids, rare = [], []
+            for text in b.column("text").to_pylist():
+                stream = text.lower().split()
+                stream.append(END)
+                at = np.fromiter(map(get, stream, repeat(-1)), np.int32, len(stream))
+                ids.append(at.tobytes())
+                rare.append([stream[i] for i in np.flatnonzero(at < 0).tolist()])
+            columns = [b.column(c) for c in ("row", *others)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["row", *others, "ids", "rare"])
+
+    numbered = _bytes(texts.withColumn("row", F.monotonically_increasing_id()), "row", *others)
+    kinds = "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in others)
+    return numbered.mapInArrow(run, f"row long, {kinds}ids binary, rare array<binary>")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The ids of many texts in a row, after an end token: each text begins after the end of the one before."""
+    return np.frombuffer(b"".join([bytes(4), *column.to_pylist()]), np.int32).astype(np.int64)
+
+
+def start_bigrams(texts: DataFrame, size: int) -> np.ndarray:
+    """How often each of the first `size` words follows each, over all coded texts(ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
-        for stream in _streams(batches):
-            ids = np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))
+        for b in batches:
+            ids = _numbers(b.column("ids"))
             left, right = ids[:-1], ids[1:]
-            both = (left >= 0) & (right >= 0)
-            table += np.bincount(left[both] * size + right[both], minlength=size * size)
+            both = (left >= 0) & (right >= 0) & (left < size) & (right < size)
+            np.add.at(table, left[both] * size + right[both], 1)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["pair", "n"])
 
-    sums = _bytes(texts).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    sums = texts.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     table = np.zeros(size * size, np.int64)
     rows = stored(sums, "start-bigrams").toArrow()  # at most the square of START
     table[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
@@ -187,11 +218,14 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
     return of
 
 
-def best_classes(table: np.ndarray, word: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, size: int, other: int) -> np.ndarray:
+def best_classes(
+    table: np.ndarray, word: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray, size: int, other: int, now: np.ndarray | None = None
+) -> np.ndarray:
     """The class of each of `size` words in which `table`, the class bigrams, becomes most likely.
 
     Word word[i] comes n[i] times between the classes before[i] and after[i] (-1: not known).  The words aren't in the
-    table yet; one without a known neighbour gets the class `other`.
+    table yet, or are in the classes `now`, which each leaves alone before it is put.  One without a known neighbour
+    gets the class `other`.
     """
     classes = len(table)
 
@@ -212,38 +246,56 @@ def best_classes(table: np.ndarray, word: np.ndarray, before: np.ndarray, after:
             np.add.at(gain, w[some], f(cell + sums[w[some], c[some]][:, None]) - f(cell))
     cell = np.diag(table)
     gain += f(cell + out + into) - f(cell + out) - f(cell + into) + f(cell)
+    outs, intos = out.sum(1, keepdims=True), into.sum(1, keepdims=True)
     rows, cols = table.sum(1) + into, table.sum(0) + out
-    gain -= f(rows + out.sum(1, keepdims=True)) - f(rows) + f(cols + into.sum(1, keepdims=True)) - f(cols)
+    if now is not None:
+        each = np.arange(size)
+        own_out, own_into = out[each, now][:, None], into[each, now][:, None]
+        to, of = table.T[now], table[now]  # cells of every class before the word's own one, and of its own one before every class
+        less_to, less_of = np.maximum(to - into, 0), np.maximum(of - out, 0)
+        gain += f(less_to + own_out) - f(less_to) - f(to + own_out) + f(to)
+        gain += f(less_of + own_into) - f(less_of) - f(of + own_into) + f(of)
+        cell = np.maximum(np.diag(table)[now] - own_out[:, 0] - own_into[:, 0], 0)
+        less_to[each, now] = less_of[each, now] = cell
+        stay = (f(less_of + out) - f(less_of)).sum(1) + (f(less_to + into) - f(less_to)).sum(1)
+        a, b = own_out[:, 0], own_into[:, 0]
+        gain[each, now] = stay + f(cell + a + b) - f(cell + a) - f(cell + b) + f(cell)
+        rows, cols = rows - into, cols - out
+        rows[each, now] -= outs[:, 0]
+        cols[each, now] -= intos[:, 0]
+    gain -= f(rows + outs) - f(rows) + f(cols + intos) - f(cols)
     best = gain.argmax(1)
-    best[(into.sum(1) == 0) & (out.sum(1) == 0)] = other
+    best[(intos[:, 0] == 0) & (outs[:, 0] == 0)] = other
     return best
 
 
-def _placed(contexts: DataFrame, key: str, kind: str, table: np.ndarray, other: int) -> DataFrame:
-    """key, n, class and contexts of each word of contexts(key, l, r, n), classes before and after it."""
+def _placed(contexts: DataFrame, key: str, kind: str, table: np.ndarray, other: int, now: np.ndarray | None = None) -> DataFrame:
+    """key, n and class of each word of contexts(key, l, r, n), classes before and after it; now: classes by key."""
     each = contexts.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", "r", "n")).alias("at"))  # at most (CLASSES + 1) squared
-    shared = contexts.sparkSession.sparkContext.broadcast(table)
+    shared = contexts.sparkSession.sparkContext.broadcast((table, now))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now = shared.value
         for batch in batches:
             for first in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(first, BLOCK)
                 at = b.column("at")
                 lengths, flat = at.value_lengths().to_numpy(zero_copy_only=False), at.flatten()
                 l, r, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("l", "r", "n"))
-                of = best_classes(shared.value, np.repeat(np.arange(len(b)), lengths), l, r, n, len(b), other)
-                yield pa.RecordBatch.from_arrays([b.column(key), b.column("n"), pa.array(of.astype(np.int32)), at], [key, "n", "class", "at"])
+                classes = None if now is None else now[b.column(key).to_numpy()]
+                of = best_classes(table, np.repeat(np.arange(len(b)), lengths), l, r, n, len(b), other, classes)
+                yield pa.RecordBatch.from_arrays([b.column(key), b.column("n"), pa.array(of.astype(np.int32))], [key, "n", "class"])
 
-    return each.mapInArrow(run, f"{key} {kind}, n long, class int, at array<struct<l:int,r:int,n:long>>")
+    return each.mapInArrow(run, f"{key} {kind}, n long, class int")
 
 
-def held_contexts(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataFrame:
-    """id, l, r, n: how often each of the words that has no class (-1) yet comes between which classes."""
-    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, of))
+def held_contexts(texts: DataFrame, first: int, end: int, of: np.ndarray) -> DataFrame:
+    """id, l, r, n: how often each word with first <= id < end comes between which classes (-1: not known)."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
     base = int(of.max()) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, of = shared.value[0].get, np.append(shared.value[1], -1)
+        of = np.append(shared.value, -1)
         parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -252,10 +304,10 @@ def held_contexts(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataF
             word, l, r = keys // (base * base), keys // base % base - 1, keys % base - 1
             return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (word, l, r)), pa.array(n)], ["id", "l", "r", "n"])
 
-        for stream in _streams(batches):
-            ids = np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))
+        for b in batches:
+            ids = _numbers(b.column("ids"))
             cls = of[ids]
-            at = np.flatnonzero((ids >= 0) & (cls < 0))
+            at = np.flatnonzero((ids >= first) & (ids < end))
             at = at[(cls[at - 1] >= 0) | (cls[at + 1] >= 0)]
             parts.append((ids[at] * base + cls[at - 1] + 1) * base + cls[at + 1] + 1)
             if sum(map(len, parts)) > 4_000_000:
@@ -263,48 +315,97 @@ def held_contexts(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataF
         if parts:
             yield flush()
 
-    return _bytes(texts).mapInArrow(run, "id int, l int, r int, n long").groupBy("id", "l", "r").agg(F.sum("n").alias("n"))
-
+    return texts.select("ids").mapInArrow(run, "id int, l int, r int, n long").groupBy("id", "l", "r").agg(F.sum("n").alias("n"))
 
-def _gathered(texts: DataFrame, words: list[bytes], of: np.ndarray) -> DataFrame:
-    """Counts of what surrounds what: (l, r, n) of class bigrams of held words; (token, l, r, n) of other tokens between
-    classes (-1: the neighbour isn't held either); (token, other, n) of tokens that aren't held in a row."""
-    classes = int(of.max()) + 1
-    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, of))
-    names = ["token", "other", "l", "r", "n"]
 
-    def batch(token, other, l, r, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), pa.array(other, pa.binary()), pa.array(l, pa.int32()), pa.array(r, pa.int32()), pa.array(n, pa.int64())], names)
+def rare_contexts(texts: DataFrame, of: np.ndarray) -> DataFrame:
+    """token, l, r, n: how often each word that isn't held comes between which classes (-1: not known)."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, of = shared.value[0].get, np.append(shared.value[1], -1)
-        table, alone, pairs = np.zeros(classes * classes, np.int64), Counter(), Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if alone:
-                token, l, r = zip(*alone, strict=True)
-                yield batch(token, [None] * len(token), l, r, list(alone.values()))
-            if pairs:
-                token, other = zip(*pairs, strict=True)
-                yield batch(token, other, [None] * len(token), [None] * len(token), list(pairs.values()))
-            alone.clear()
-            pairs.clear()
+        of, counts = np.append(shared.value, -1), Counter()
 
-        for stream in _streams(batches):
-            cls = of[np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))]
+        def flush() -> pa.RecordBatch:
+            columns = [*zip(*counts, strict=True), counts.values()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["token", "l", "r", "n"])
+            counts.clear()
+            return out
+
+        for b in batches:
+            ids = _numbers(b.column("ids"))
+            at, cls = np.flatnonzero(ids < 0), of[ids]
+            counts.update(zip(b.column("rare").flatten().to_pylist(), cls[at - 1].tolist(), cls[at + 1].tolist(), strict=True))
+            if len(counts) > FLUSH:
+                yield flush()
+        if counts:
+            yield flush()
+
+    return texts.select("ids", "rare").mapInArrow(run, "token binary, l int, r int, n long").groupBy("token", "l", "r").agg(F.sum("n").alias("n"))
+
+
+def known_bigrams(texts: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """How often each class follows each where both are known (not -1), over all coded texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = np.append(shared.value, -1), np.zeros(classes * classes, np.int64)
+        for b in batches:
+            cls = of[_numbers(b.column("ids"))]
             both = (cls[:-1] >= 0) & (cls[1:] >= 0)
             table += np.bincount(cls[:-1][both] * classes + cls[1:][both], minlength=classes * classes)
-            at = np.flatnonzero(cls < 0)
-            alone.update(zip([stream[i] for i in at.tolist()], cls[at - 1].tolist(), cls[at + 1].tolist(), strict=True))
-            pairs.update((stream[i], stream[i + 1]) for i in at[cls[at + 1] < 0].tolist())
-            if len(alone) + len(pairs) > FLUSH:
-                yield from flush()
-        yield from flush()
         at = np.flatnonzero(table)
-        yield batch([None] * len(at), [None] * len(at), at // classes, at % classes, table[at])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["pair", "n"])
 
-    rows = _bytes(texts).mapInArrow(run, "token binary, other binary, l int, r int, n long")
-    return rows.groupBy("token", "other", "l", "r").agg(F.sum("n").alias("n"))
+    table = np.zeros(classes * classes)
+    for r in texts.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r.pair] = r.n  # at most the square of the classes
+    return table.reshape(classes, classes)
+
+
+def class_bigrams(texts: DataFrame, of: np.ndarray, tail: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each, over all coded texts; tail(token, class) has the words that aren't held."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
+    names = ["token", "other", "l", "r", "n"]
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.append(shared.value, -1)
+        table, counts = np.zeros(classes * classes, np.int64), Counter()
+
+        def flush() -> pa.RecordBatch:
+            columns = [*zip(*counts, strict=True), counts.values()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            counts.clear()
+            return out
+
+        for b in batches:
+            cls = of[_numbers(b.column("ids"))]
+            both = (cls[:-1] >= 0) & (cls[1:] >= 0)
+            table += np.bincount(cls[:-1][both] * classes + cls[1:][both], minlength=classes * classes)
+            rare, at = b.column("rare").flatten().to_pylist(), np.flatnonzero(cls < 0)
+            before, after = cls[at - 1], cls[at + 1]
+            counts.update((rare[i], None, l, None) for i, l in enumerate(before.tolist()) if l >= 0)
+            counts.update((rare[i], None, None, r) for i, r in enumerate(after.tolist()) if r >= 0)
+            counts.update((rare[i], rare[i + 1], None, None) for i in np.flatnonzero(after < 0).tolist())
+            if len(counts) > FLUSH:
+                yield flush()
+        if counts:
+            yield flush()
+        at = np.flatnonzero(table)
+        none = pa.nulls(len(at), pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array((at // classes).astype(np.int32)), pa.array((at % classes).astype(np.int32)), pa.array(table[at])], names)
+
+    rows = texts.select("ids", "rare").mapInArrow(run, "token binary, other binary, l int, r int, n long")
+    rows = stored(rows.groupBy("token", "other", "l", "r").agg(F.sum("n").alias("n")), "surroundings")
+    sums = np.zeros((classes, classes))
+    known = rows.where("token is null").select("l", "r", "n")
+    mine = rows.where("token is not null and other is null").join(tail.select("token", "class"), "token")
+    mine = mine.select(F.coalesce("l", "class").alias("l"), F.coalesce("r", "class").alias("r"), "n")
+    pairs = rows.where("other is not null").select("token", "other", "n")
+    pairs = pairs.join(tail.select("token", F.col("class").alias("l")), "token").join(tail.select(F.col("token").alias("other"), F.col("class").alias("r")), "other")
+    for r in known.unionByName(mine).unionByName(pairs.select("l", "r", "n")).groupBy("l", "r").agg(F.sum("n").alias("n")).collect():
+        sums[r.l, r.r] = r.n  # at most the square of the classes
+    return sums
 
 
 @dataclass
@@ -325,41 +426,50 @@ class Model:
     types: int
 
 
-def fit(train: DataFrame, start: int = START, held: int = HELD, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
+def fit(train: DataFrame, start: int = START, held: int = HELD, classes: int = CLASSES, rounds: int = ROUNDS, middle: int = MIDDLE) -> Model:
     """The model of all texts of train(text)."""
     counts = stored(token_counts(train), "token-counts")
+    top = _words(counts, start, held, middle)
+    return _fitted(counts, top, stored(coded(train, list(top)), "coded", "zstd"), start, classes, rounds, middle)
+
+
+def _words(counts: DataFrame, start: int, held: int, middle: int) -> dict[bytes, int]:
+    """The held words and their counts; the first `middle` are the same whatever `held` is."""
+    middle = max(start, middle)
+    top = frequent(counts, middle)
+    return top | frequent(counts, held) if held > middle and len(top) == middle else top
+
+
+def _fitted(counts: DataFrame, top: dict[bytes, int], texts: DataFrame, start: int, classes: int, rounds: int, middle: int) -> Model:
+    """The model of coded texts, from all token counts and those of the held words."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = frequent(counts, held)
-    words, n = list(top), np.array(list(top.values()), float)
-    first = start_bigrams(train, words[:start])
+    n = np.array(list(top.values()), float)
+    start, middle = min(start, len(top)), min(max(start, middle), len(top))
+    first = start_bigrams(texts, start)
     left, right = np.nonzero(first)
-    of = np.full(len(words), -1)
-    of[: len(first)] = exchange(left, right, first[left, right].astype(float), len(first), classes, rounds)
+    of = np.full(len(top), -1)
+    of[:start] = exchange(left, right, first[left, right].astype(float), start, classes, rounds)
     table = np.zeros((classes, classes))
     np.add.at(table, (of[left], of[right]), first[left, right])
-    other = int(np.bincount(of[: len(first)], minlength=classes).argmax())
-    if len(words) > len(first):
-        placed = _placed(held_contexts(train, words, of), "id", "int", table, other).select("id", "class")
-        rows = stored(placed, "held-classes").toArrow()  # at most HELD
+
+    common = int(np.bincount(of[:start], minlength=classes).argmax())
+
+    def place(begin: int, end: int, table: np.ndarray, now: np.ndarray | None = None) -> None:
+        """Classes of the words from begin to end, at most HELD, from the classes known now."""
+        rows = stored(_placed(held_contexts(texts, begin, end, of), "id", "int", table, common, now).select("id", "class"), "held-classes").toArrow()
+        of[begin:end] = common
         of[rows.column("id").to_numpy()] = rows.column("class").to_numpy()
-        of[of < 0] = other
-        other = int(np.bincount(of, minlength=classes).argmax())
-    around = stored(_gathered(train, words, of), "surroundings")
-    table = np.zeros((classes, classes))
 
-    def add(rows: DataFrame) -> None:
-        for r in rows.groupBy("l", "r").agg(F.sum("n").alias("n")).collect():  # at most the square of the classes
-            table[r.l, r.r] += r.n
-
-    add(around.where("token is null"))
-    alone = around.where("token is not null and other is null").select("token", "l", "r", "n")
-    tail = stored(_placed(alone, "token", "binary", table.copy(), other), "tail-classes")
-    at = tail.select("class", F.explode("at").alias("x")).select("class", "x.*")
-    add(at.where("l >= 0").select("l", F.col("class").alias("r"), "n").unionByName(at.where("r >= 0").select(F.col("class").alias("l"), "r", "n")))
-    tail = tail.select("token", "n", "class")
-    pairs = around.where("other is not null").select("token", "other", "n")
-    pairs = pairs.join(tail.select("token", F.col("class").alias("l")), "token").join(tail.select(F.col("token").alias("other"), F.col("class").alias("r")), "other")
-    add(pairs.select("l", "r", "n"))
+    if middle > start:
+        place(start, middle, table)
+        table = known_bigrams(texts, of, classes)
+        place(start, middle, table, of.copy())
+        table = known_bigrams(texts, of, classes)
+    known = of.copy()
+    if len(top) > middle:
+        place(middle, len(top), table)
+    tail = stored(_placed(rare_contexts(texts, known), "token", "binary", table, common), "tail-classes")
+    table = class_bigrams(texts, of, tail, classes)
     alone = (table.sum(0) + 0.5) / (table.sum() + 0.5 * classes)
     # Interpolated with the classes alone, so that an odd sequence costs little more than its words do
     seen = (table + alone) / (table.sum(1, keepdims=True) + 1)
@@ -369,10 +479,10 @@ def fit(train: DataFrame, start: int = START, held: int = HELD, classes: int = C
         emitted[r["class"]] += r.n, r.v
     # Each class has one more word, for all that training hasn't seen
     spread = np.log10(emitted[:, 0] + 0.5 * (emitted[:, 1] + 1))
-    return Model(top, of, tail, np.log10((1 - ALONE) * seen + ALONE * alone), spread, other, int(total.n), int(total.v))
+    return Model(top, of, tail, np.log10((1 - ALONE) * seen + ALONE * alone), spread, int(emitted[:, 1].argmax()), int(total.n), int(total.v))
 
 
-def scores(docs: DataFrame, folds: int = 5, held_out: int = 1, start: int = START, held: int = HELD, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 5, held_out: int = 1, start: int = START, held: int = HELD, classes: int = CLASSES, rounds: int = ROUNDS, middle: int = MIDDLE) -> DataFrame:
     """log10 probability of every whole text of docs(doc_id, text), learned from those outside the held-out fold.
 
     Returns doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-half unigrams)
@@ -381,8 +491,11 @@ def scores(docs: DataFrame, folds: int = 5, held_out: int = 1, start: int = STAR
     An empty table gives no rows; without training rows all words are unknown.
     """
     texts = texts_of(docs)
-    model = fit(texts.where(crc_mod("doc_id", folds) != held_out), start, held, classes, rounds)
-    out = scored(texts, model)
+    counts = stored(token_counts(texts.where(crc_mod("doc_id", folds) != held_out)), "token-counts")
+    top = _words(counts, start, held, middle)
+    numbers = stored(coded(texts, list(top), "doc_id"), "coded", "zstd")
+    model = _fitted(counts, top, numbers.where(crc_mod("doc_id", folds) != held_out), start, classes, rounds, middle)
+    out = _scored(numbers, model)
     bottom = math.log10(model.total + 0.5 * (model.types + 1))
     return out.select(
         "doc_id",
@@ -396,58 +509,65 @@ def scores(docs: DataFrame, folds: int = 5, held_out: int = 1, start: int = STAR
 
 
 def scored(texts: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, known, logs (sum of log10(count + 1/2)), class_logs of each of texts(doc_id, text).
+    """doc_id, n_tokens, known, logs (sum of log10(count + 1/2)), class_logs of each of texts(doc_id, text)."""
+    return _scored(stored(coded(texts, list(model.held), "doc_id"), "coded", "zstd"), model)
+
+
+def _scored(numbers: DataFrame, model: Model) -> DataFrame:
+    """scored() of coded texts(row, doc_id, ids, rare).
 
-    Tokens that aren't held meet their counts and classes in joins on the token.  Frequent ones take no part in these,
-    so no key is hot.
+    Tokens that aren't held meet their counts and classes in joins on the token.  Those that training has often take no
+    part in these, and what a text has of one is counted first, so no key is hot.
     """
-    spark = texts.sparkSession
-    rows = stored(_parts(texts, model), "scored")
+    spark = numbers.sparkSession
+    rows = stored(_parts(numbers, model), "scored")
     size = range(len(model.follow))
     step = F.broadcast(spark.createDataFrame([(i, j, float(model.follow[i, j])) for i in size for j in size], "l int, r int, step double"))
     off = F.broadcast(spark.createDataFrame([(i, float(model.spread[i])) for i in size], "class int, off double"))
     cls, zero = F.coalesce("class", F.lit(model.other)), F.lit(0.0)
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.*").join(model.tail, "token", "left").withColumn("class", cls)
     rare = rare.join(step.withColumnsRenamed({"r": "class", "step": "into"}), ["l", "class"], "left").join(step.withColumnsRenamed({"l": "class", "step": "out"}), ["class", "r"], "left").join(off, "class")
-    rare = rare.select("row", F.log10(F.coalesce("n", F.lit(0)) + 0.5).alias("logs"), F.when(F.col("n") > 0, 1).otherwise(0).alias("known"), (F.coalesce("into", zero) + F.coalesce("out", zero) - F.col("off")).alias("class_logs"))
+    rare = rare.select("row", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * (F.coalesce("into", zero) + F.coalesce("out", zero) - F.col("off"))).alias("class_logs"))
     pairs = rows.select("row", F.explode("pairs").alias("x")).select("row", "x.*")
     pairs = pairs.join(model.tail.select("token", F.col("class").alias("l")), "token", "left").join(model.tail.select(F.col("token").alias("other"), F.col("class").alias("r")), "other", "left")
     pairs = pairs.withColumn("l", F.coalesce("l", F.lit(model.other))).withColumn("r", F.coalesce("r", F.lit(model.other))).join(step, ["l", "r"])
-    pairs = pairs.select("row", zero.alias("logs"), F.lit(0).alias("known"), F.col("step").alias("class_logs"))
+    pairs = pairs.select("row", zero.alias("logs"), F.lit(0).alias("known"), (F.col("times") * F.col("step")).alias("class_logs"))
     met = rare.unionByName(pairs).groupBy("row").agg(F.sum("logs").alias("more_logs"), F.sum("known").alias("more_known"), F.sum("class_logs").alias("more_class_logs"))
     out = rows.drop("rare", "pairs").join(met, "row", "left")
     return out.select("doc_id", "n_tokens", *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("known", "logs", "class_logs")])
 
 
-def _parts(texts: DataFrame, model: Model) -> DataFrame:
-    """Per row: what its held tokens add to the scores, and its other tokens with the classes around them."""
-    shared = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(model.held)}, np.array(list(model.held.values()), np.int64), model.of, model.follow, model.spread))
-    rare_of = pa.struct([("token", pa.binary()), ("l", pa.int32()), ("r", pa.int32())])
-    pair_of = pa.struct([("token", pa.binary()), ("other", pa.binary())])
+def _parts(numbers: DataFrame, model: Model) -> DataFrame:
+    """Per row: what its held tokens add to the scores; its other tokens by the classes around them, and pairs of these,
+    each with the times that the text has it."""
+    shared = numbers.sparkSession.sparkContext.broadcast((np.array(list(model.held.values()), np.int64), model.of, model.follow, model.spread))
+    times = ("times", pa.int64())
+    rare_of = pa.struct([("token", pa.binary()), ("l", pa.int32()), ("r", pa.int32()), times])
+    pair_of = pa.struct([("token", pa.binary()), ("other", pa.binary()), times])
+
+    def lists(counts: Counter, texts: int, kind: pa.StructType) -> pa.ListArray:
+        """Lists of structs by text, from counts of (text, *fields), texts ascending."""
+        text, *columns = zip(*counts, strict=True) if counts else [()] * kind.num_fields
+        flat = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip([*columns, list(counts.values())], kind, strict=True)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(np.array(text, np.int64), np.arange(texts + 1)), pa.int32()), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, n, of, follow, spread = shared.value
-        get, of = place.get, np.append(of, -1)
+        n, of, follow, spread = shared.value
+        of = np.append(of, -1)
         seen, logs = np.append(n > 0, False), np.append(np.log10(n + 0.5), 0.0)
         follow, spread = np.pad(follow, (0, 1)), np.append(spread, 0.0)  # what isn't known adds nothing here
         for b in batches:
-            stream, ends = [END], []
-            for text in b.column("text").to_pylist():
-                stream += text.lower().split()
-                stream.append(END)
-                ends.append(len(stream))
-            ids = np.fromiter(map(get, stream, repeat(-1)), np.int64, len(stream))
-            cls = of[ids]
-            first = np.array([1, *ends[:-1]], np.int64)
+            ids, rare = _numbers(b.column("ids")), b.column("rare").flatten().to_pylist()
+            begins = np.append(1, np.flatnonzero(ids[1:] == 0) + 2)  # of each text, and of what would follow the last
+            cls, first = of[ids], begins[:-1]
             sums = [np.add.reduceat(x, first) for x in (seen[ids].astype(np.int64), logs[ids], follow[np.append(0, cls[:-1]), cls] - spread[cls])]
             at = np.flatnonzero(cls < 0)
-            two = at[cls[at + 1] < 0]
-            lists = []
-            for where, kind, columns in ((at, rare_of, (cls[at - 1], cls[at + 1])), (two, pair_of, ([stream[i + 1] for i in two.tolist()],))):
-                columns = [[stream[i] for i in where.tolist()], *columns]
-                flat = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kind, strict=True)], fields=list(kind))
-                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.append(first, len(stream))), pa.int32()), flat))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(np.diff([1, *ends]), pa.int64()), *map(pa.array, sums), *lists], ["row", "doc_id", "n_tokens", "known", "logs", "class_logs", "rare", "pairs"])
-
-    numbered = _bytes(texts.withColumn("row", F.monotonically_increasing_id()), "row", "doc_id")
-    return numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, logs double, class_logs double, rare array<struct<token:binary,l:int,r:int>>, pairs array<struct<token:binary,other:binary>>")
+            text = np.searchsorted(first, at, "right") - 1
+            before, after = cls[at - 1], cls[at + 1]
+            alone = Counter(zip(text.tolist(), rare, before.tolist(), after.tolist(), strict=True))
+            two = np.flatnonzero(after < 0).tolist()
+            pairs = Counter(zip(text[two].tolist(), [rare[i] for i in two], [rare[i + 1] for i in two], strict=True))
+            found = [lists(alone, len(first), rare_of), lists(pairs, len(first), pair_of)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(np.diff(begins)), *map(pa.array, sums), *found], ["row", "doc_id", "n_tokens", "known", "logs", "class_logs", "rare", "pairs"])
+
+    return numbers.select("row", "doc_id", "ids", "rare").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, logs double, class_logs double, rare array<struct<token:binary,l:int,r:int,times:long>>, pairs array<struct<token:binary,other:binary,times:long>>")

@@ -42,14 +42,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     The plan is cut there: a lost executor costs only the tasks that read the table, never its making.
     """
     spark = session_of(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

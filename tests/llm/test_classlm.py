@@ -72,7 +72,7 @@ def test_scores(spark):
     n, v = sum(count.values()), len(count)
     want = sorted((str(d), held(d), len(toks(t)), sum(count[x] > 0 for x in toks(t)), n, round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks(t)), 4)) for d, t, _ in rows)
     for start, held in ((6, 10), (30, 40), (30, 50_000)):  # few words with every task: most go through the joins
-        out = C.scores(docs, start=start, held=held, classes=6).collect()
+        out = C.scores(docs, start=start, held=held, classes=6, middle=min(held, 60)).collect()
         assert sorted((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 4)) for x in out) == want
         some = [x for x in out if x.held_out and x.doc_id != 903]
         assert start < 30 or sum(x.score for x in some) > sum(x.base_score for x in some) + 1
@@ -86,8 +86,8 @@ def test_model_and_score_against_plain_counts(spark):
     the whole texts by class, whether words are held or not."""
     rows = [(i, t or "") for i, (_, t, _) in enumerate(sample()[:80])] + [(500, "n1a qq1 qq2 qq3 v1o new1 new2"), (501, "qq9 qq8"), (502, "")]
     train = spark.createDataFrame(rows, "doc_id long, text string")
-    for start, held, size in ((8, 12, 4), (8, 40, 4), (8, 9999, 4)):
-        m = C.fit(train.select("text"), start, held, size)
+    for start, held, size in ((8, 10, 4), (8, 12, 4), (8, 40, 4), (8, 9999, 4)):
+        m = C.fit(train.select("text"), start, held, size, middle=10)
         tail = {bytes(r.token): (r.n, r["class"]) for r in m.tail.collect()}
         of = {w: int(m.of[i]) for i, w in enumerate(m.held)} | {w: c for w, (_, c) in tail.items()}
         count = Counter(w for _, t in rows for w in C.tokens(t))
@@ -138,3 +138,35 @@ def test_best_classes_weigh_by_likelihood():
                         t[c, after[i]] += n[i]
                 values.append(C.likelihood(t))
             assert values[got[w]] >= max(values) - 1e-6
+
+
+def test_moves_of_words_in_the_table_weigh_by_likelihood():
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        k, size = 5, 6
+        word, now = r.integers(0, size, 25), r.integers(0, k, size)
+        before, after, n = r.integers(-1, k, 25), r.integers(-1, k, 25), r.integers(1, 9, 25)
+
+        def put(t, w, c, sign):
+            for i in np.flatnonzero(word == w):  # noqa: B023
+                if before[i] >= 0:  # noqa: B023
+                    t[before[i], c] += sign * n[i]  # noqa: B023
+                if after[i] >= 0:  # noqa: B023
+                    t[c, after[i]] += sign * n[i]  # noqa: B023
+            return t
+
+        table = r.integers(0, 40, (k, k)).astype(float)
+        for w in range(size):
+            put(table, w, now[w], 1)
+        got = C.best_classes(table, word, before, after, n, size, 3, now)
+        for w in set(word[(before >= 0) | (after >= 0)].tolist()):
+            left = put(table.copy(), w, now[w], -1)
+            values = [C.likelihood(put(left.copy(), w, c, 1)) for c in range(k)]
+            assert values[got[w]] >= max(values) - 1e-6
+
+
+def test_held_words_are_memory_alone(spark):
+    docs = spark.createDataFrame(sample(), "doc_id long, text string, score string")
+    few, many = ({(r.doc_id, r.n_tokens): (r.n_known, r.base_score, r.score) for r in C.scores(docs, start=20, held=h, classes=6, middle=40).collect()} for h in (50, 200_000))
+    assert few.keys() == many.keys()
+    assert all(np.allclose(few[k], many[k]) for k in few)
