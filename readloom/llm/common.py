@@ -26,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="readloom-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
