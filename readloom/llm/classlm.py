@@ -289,6 +289,11 @@ def _placed(contexts: DataFrame, key: str, kind: str, table: np.ndarray, other:
     return each.mapInArrow(run, f"{key} {kind}, n long, class int")
 
 
+def _summed(contexts: DataFrame, key: str) -> DataFrame:
+    """Sums of contexts(key, l, r, n) that tasks have put together; dealt by key, so that _placed needn't deal them again."""
+    return contexts.repartition(key).groupBy(key, "l", "r").agg(F.sum("n").alias("n"))
+
+
 def held_contexts(texts: DataFrame, first: int, end: int, of: np.ndarray) -> DataFrame:
     """id, l, r, n: how often each word with first <= id < end comes between which classes (-1: not known)."""
     shared = texts.sparkSession.sparkContext.broadcast(of)
@@ -315,7 +320,7 @@ def held_contexts(texts: DataFrame, first: int, end: int, of: np.ndarray) -> Dat
         if parts:
             yield flush()
 
-    return texts.select("ids").mapInArrow(run, "id int, l int, r int, n long").groupBy("id", "l", "r").agg(F.sum("n").alias("n"))
+    return _summed(texts.select("ids").mapInArrow(run, "id int, l int, r int, n long"), "id")
 
 
 def rare_contexts(texts: DataFrame, of: np.ndarray) -> DataFrame:
@@ -340,7 +345,7 @@ def rare_contexts(texts: DataFrame, of: np.ndarray) -> DataFrame:
         if counts:
             yield flush()
 
-    return texts.select("ids", "rare").mapInArrow(run, "token binary, l int, r int, n long").groupBy("token", "l", "r").agg(F.sum("n").alias("n"))
+    return _summed(texts.select("ids", "rare").mapInArrow(run, "token binary, l int, r int, n long"), "token")
 
 
 def known_bigrams(texts: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
@@ -384,8 +389,7 @@ def class_bigrams(texts: DataFrame, of: np.ndarray, tail: DataFrame, classes: in
             table += np.bincount(cls[:-1][both] * classes + cls[1:][both], minlength=classes * classes)
             rare, at = b.column("rare").flatten().to_pylist(), np.flatnonzero(cls < 0)
             before, after = cls[at - 1], cls[at + 1]
-            counts.update((rare[i], None, l, None) for i, l in enumerate(before.tolist()) if l >= 0)
-            counts.update((rare[i], None, None, r) for i, r in enumerate(after.tolist()) if r >= 0)
+            counts.update(zip(rare, repeat(None), before.tolist(), after.tolist()))  # noqa: B905
             counts.update((rare[i], rare[i + 1], None, None) for i in np.flatnonzero(after < 0).tolist())
             if len(counts) > FLUSH:
                 yield flush()
@@ -396,13 +400,15 @@ def class_bigrams(texts: DataFrame, of: np.ndarray, tail: DataFrame, classes: in
         yield pa.RecordBatch.from_arrays([none, none, pa.array((at // classes).astype(np.int32)), pa.array((at % classes).astype(np.int32)), pa.array(table[at])], names)
 
     rows = texts.select("ids", "rare").mapInArrow(run, "token binary, other binary, l int, r int, n long")
-    rows = stored(rows.groupBy("token", "other", "l", "r").agg(F.sum("n").alias("n")), "surroundings")
-    sums = np.zeros((classes, classes))
+    rows = stored(rows, "surroundings", "zstd")
     known = rows.where("token is null").select("l", "r", "n")
-    mine = rows.where("token is not null and other is null").join(tail.select("token", "class"), "token")
-    mine = mine.select(F.coalesce("l", "class").alias("l"), F.coalesce("r", "class").alias("r"), "n")
+    mine = rows.where("token is not null and other is null").join(tail.select("token", F.col("class").alias("c")), "token")
+    mine = mine.groupBy("l", "c", "r").agg(F.sum("n").alias("n"))
+    two = F.array(F.struct("l", F.col("c").alias("r"), "n"), F.struct(F.col("c").alias("l"), "r", "n"))
+    mine = mine.select(F.explode(two).alias("x")).select("x.*").where("l >= 0 and r >= 0")
     pairs = rows.where("other is not null").select("token", "other", "n")
     pairs = pairs.join(tail.select("token", F.col("class").alias("l")), "token").join(tail.select(F.col("token").alias("other"), F.col("class").alias("r")), "other")
+    sums = np.zeros((classes, classes))
     for r in known.unionByName(mine).unionByName(pairs.select("l", "r", "n")).groupBy("l", "r").agg(F.sum("n").alias("n")).collect():
         sums[r.l, r.r] = r.n  # at most the square of the classes
     return sums
