@@ -10,16 +10,18 @@ sequences to beat leave.  Spark then numbers the pieces of each length and each
 
 from __future__ import annotations
 
+import codecs
+import os
 import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,10 @@ CAPACITY = 4096
 FILLINGS, BRANCHES = 400, 20_000
 #: Steps of the search over whole plans for one number of sequences; beyond, it is open whether such a plan exists.
 STEPS = 60_000
-MOST_WORDS = 120_000
+#: Words whose ids a worker keeps, and ids beyond which it drops all but those in use.
+MOST_WORDS, MOST_IDS = 240_000, 4_000_000
+#: Characters of texts that are encoded together; a longer text is alone.
+TOGETHER = 2_000_000
 
 
 def _usual() -> str:
@@ -50,21 +55,23 @@ def _usual() -> str:
 class WordEncoder:
     """ids of whole texts by a word-end BPE file of the tokenizers library.
 
-    Words that were encoded once are kept, since the merges never cross them.  New ones are encoded by the library,
-    many at once, without its normaliser and splitting pattern, which they have behind them.  Texts with characters that
-    Python and the library may class differently go through the library whole.
+    Texts are taken many together: Arrow parts them into words by the file's splitting pattern and finds the distinct ones.
+    The ids of words are kept, since the merges never cross them.  New ones are encoded by the library, many at once,
+    without its normaliser and splitting pattern, which they have behind them.  Texts with characters that Python and the
+    library may class differently go through the library whole.
     """
 
-    #: Fixed by the file: its splitting pattern.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Fixed by the file: its splitting pattern is this or a run of letters.
+    BETWEEN = r"'(?:[stmd]|re|ve|ll)|\p{N}|[^\s\x0b\x{85}\p{Z}\p{L}\p{N}]+"
+    SPACE = r"[\s\x0b\x{85}\p{Z}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work, a task has one core
         self.path, self.merges = path, Tokenizer.from_file(path)
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.split = regex.compile(self.PATTERN).findall
         self.usual = re.compile(_usual()).fullmatch
         #: Tokens that the library finds in a text before all else
         special = {t.content: i for i, t in self.merges.get_added_tokens_decoder().items()}
@@ -75,10 +82,11 @@ class WordEncoder:
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # The library writes each byte as a printing character: itself where it is one, else the next from 256 on.
         printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = (b for b in range(256) if b not in printing)
-        self.shown = {b: 256 + i for i, b in enumerate(rest) if b != 32}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        rest = [b for b in range(256) if b not in printing]
+        self.shown = "".join(chr(b if b in printing or b == 32 else 256 + rest.index(b)) for b in range(256))
+        #: The row of each kept word; row r has ids[at[r]:at[r + 1]].  The empty word has none.
+        self.known = {"": 0}
+        self.ids, self.at = np.empty(0, "<u4"), np.zeros(2, np.int64)
 
     @cached_property
     def library(self):
@@ -87,60 +95,93 @@ class WordEncoder:
 
         return Tokenizer.from_file(self.path)
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        """ids of words, each one piece: they are encoded together and parted where a token ends a word."""
-        out: list[bytes] = []
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words, each one piece, and how many each has: they are encoded together and parted where a token ends a word."""
+        ids, sizes = [], []
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
             line = " ".join(some)
             if not line.isascii() or not line.isprintable():
-                line = line.encode().decode("latin-1").translate(self.shown)
-            ids = np.array(self.merges.encode(line, add_special_tokens=False).ids, "<u4")
-            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) == len(some):
-                out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            else:
-                out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(some, add_special_tokens=False)]
+                line = codecs.charmap_decode(line.encode(), "strict", self.shown)[0]
+            got = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            size = np.diff(np.flatnonzero(self.last[got]) + 1, prepend=0)
+            if len(size) != len(some):
+                each = [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
+                got, size = np.array([i for e in each for i in e], "<u4"), np.array([len(e) for e in each])
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the rows one after the other, and where each row's begin and the last's end."""
+        first = self.at[rows]
+        size = self.at[rows + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)], ends
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The row of each of the distinct words; new ones get rows, and long ones are found there this once only."""
+        rows = np.array([self.known.get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            if len(self.known) + len(missing) > MOST_WORDS or len(self.ids) > MOST_IDS:  # only words met here stay
+                kept = np.unique(np.append(rows[rows >= 0], 0))
+                self.ids, self.at = self._ids_of(kept)
+                rows[rows >= 0] = np.searchsorted(kept, rows[rows >= 0])
+                self.known = {"": 0} | {words[i]: int(rows[i]) for i in np.flatnonzero(rows >= 0)}
+            new = [words[i] for i in missing]
+            ids, size = self._each(new)
+            first = len(self.at) - 1
+            rows[missing] = np.arange(first, first + len(new))
+            self.ids = np.concatenate([self.ids, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+            self.known |= {w: first + i for i, w in enumerate(new) if len(w) < 64}
+        return rows
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """ids of texts without special tokens."""
+        out: list[bytes] = []
+        usual = [i for i, text in enumerate(texts) if text.isascii() or self.usual(text)]
+        # The library lower-cases each character alone.
+        lower = [(text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower() for text in map(texts.__getitem__, usual)]
+        apart = pc.replace_substring_regex(pa.array(lower, pa.large_string()), self.BETWEEN, r" \0 ")
+        # Arrow's own white space has four control characters that the library's hasn't.
+        odd = any(c in text for text in lower for c in "\x1c\x1d\x1e\x1f")
+        words = pc.split_pattern_regex(apart, self.SPACE) if odd else pc.utf8_split_whitespace(apart)
+        coded = words.flatten().dictionary_encode()
+        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, ends = self._ids_of(rows[coded.indices.to_numpy()])
+        ends = ends[words.offsets.to_numpy()]
+        have = {i: ids[a:b].tobytes() for i, a, b in zip(usual, ends, ends[1:], strict=False)}
+        for i, text in enumerate(texts):
+            out.append(have[i] if i in have else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        parts, ends = [], [0]
+        for text in texts:
+            parts += self.parts(text) if "<|" in text else [text]
+            ends.append(len(parts))
+        found = list(map(self.special.get, parts))
+        plain = iter(self._plain([part for part, ids in zip(parts, found, strict=True) if ids is None]))
+        found = [next(plain) if ids is None else ids for ids in found]
+        return (b"".join(found[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+
+    def packed_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            if some and size + len(text) > TOGETHER:
+                yield from self._group(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        if some:
+            yield from self._group(some)
+
     def packed(self, text: str) -> bytes:
-        """ids as little-endian unsigned 32-bit integers."""
-        if "<|" not in text:
-            return self._plain(text)
-        return b"".join(self.special.get(part) or self._plain(part) for part in self.parts(text) if part)
-
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            if not self.usual(text):
-                return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases each character alone
-        text, known = text.lower(), self.known
-        # Python's split() takes four control characters for white space, the library doesn't.
-        runs = self.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        out = list(map(known.get, runs))
-        if None in out:
-            new = list(dict.fromkeys([r for r, ids in zip(runs, out, strict=True) if ids is None]))
-            old, split = self.older.get, self.split
-            words: dict[str, bytes | None] = {}
-            pieces = []
-            for r in new:
-                ids = old(r)
-                if ids is not None:
-                    known[r] = ids
-                elif r.isalpha():
-                    words[r] = None
-                else:
-                    pieces.append((r, p := split(r)))
-                    words |= dict.fromkeys(p)
-            todo = [w for w in words if w not in known]
-            words |= zip(todo, self._each(todo), strict=True)
-            have = {w: ids if ids is not None else known[w] for w, ids in words.items()}
-            fresh = have | {r: b"".join([have[w] for w in p]) for r, p in pieces}
-            known |= {r: ids for r, ids in fresh.items() if len(r) < 64}
-            out = [ids if ids is not None else known.get(r) or fresh[r] for r, ids in zip(runs, out, strict=True)]
-            if len(known) > MOST_WORDS:
-                self.older, self.known = known, {}
-        return b"".join(out)
+        return next(self.packed_all([text]))
 
 
 _made: dict[str, WordEncoder] = {}
@@ -159,8 +200,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = enc.packed(text) + end
+            for doc_id, data in zip(b.column(0).to_pylist(), enc.packed_all(b.column(1).to_pylist()), strict=True):
+                data += end
                 for i, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     ids.append(doc_id)

@@ -23,6 +23,41 @@ def test_encoder_equals_library():
         assert np.frombuffer(enc.packed(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_batches_equal_library(monkeypatch):
+    """Texts of a batch share their new words' way through the library; the ids stay the library's own."""
+    lib, enc = Tokenizer.from_file(PATH), K.WordEncoder(PATH)
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(merges, name)
+
+    merges, enc.merges = enc.merges, Counted()
+
+    def check(texts):
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.packed_all(texts)] == want
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeioutnsrlé") for _ in range(r.randint(1, 9)))
+    texts = [" ".join(word() + r.choice(["", "", ".", ",", "'s", "''re", "!'ll9", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    texts += ["", " ", "\n\n", "<|endoftext|>", "\U0001fbf0", "a <|startoftext|>\U0001fbf0 b<|", "12 345", "q" * 300, "q" * 300 + " x"]
+    check(texts)
+    assert len(calls) <= 5  # 2,000 new words a call; a call a text before
+    check([])
+    usual = [c for c in map(chr, range(0x10000)) if enc.usual(c)]
+    check([f"a{c}b {c}{c}'s{c}" for c in usual])
+    check(["a\x1cb", "c d\x1f \x1d", "e\x85f\xa0g", "\x1e"])
+    monkeypatch.setattr(K, "MOST_WORDS", 300)
+    monkeypatch.setattr(K, "TOGETHER", 500)
+    check(texts * 2)
+    assert len(enc.known) <= 600
+    monkeypatch.setattr(K, "MOST_IDS", 50)
+    check(texts + ["z" * 5000 + " " + word() for _ in range(5)])
+    assert not any(len(w) >= 64 for w in enc.known)
+
+
 def check_plan(count, capacity):
     plan = K.pack_counts(count, capacity)
     seen = Counter()
