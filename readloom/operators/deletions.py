@@ -1,7 +1,8 @@
 """Large deletions out of clipped ends of reads: where the clipped bases lie elsewhere on the same sequence, what is between is gone.
 
 Clipped ends meet the reference by shared words of k bases within a bin and its neighbours, never all against all; the
-words vote for a place, and the best place is aligned.
+words vote for a place, and the best place is aligned.  Texts move, never their words: a row has the reference of one bin and
+some of its clips, and the words of that reference are an index while the row is at hand.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.sequences import kmers
 from readloom.operators.pairwise import align_batch
 
+#: Clips of one bin that are looked up together; a bin with more is dealt to several rows.
+SHARE = 2000
+
 
 def placed_clips(clips: DataFrame, reference: DataFrame, k: int = 12, span: int = 16384, pad: int = 8) -> DataFrame:
     """The likeliest place of each of clips(clip, chrom, pos, seq) within `span` bases or a little more: clip, votes, at, part.
@@ -22,19 +25,40 @@ def placed_clips(clips: DataFrame, reference: DataFrame, k: int = 12, span: int
     Words of the clip and of the reference that are equal vote for the place that they imply for the clip's first base; the
     most votes win, then the smallest place.  `part` is the reference around it, from place `at` on.  reference(chrom, start,
     seq) comes in stretches that overlap by a clip's length and twice `pad` at least; only those near a clip are cut
-    into words.
+    into words.  Where a clip's words are at hand more than once at a place, each of its words votes once.
     """
     bins = F.explode(F.array(*[F.floor(F.col("pos") / span) + d for d in (-1, 0, 1)]))
-    near = clips.select("clip", "chrom", "seq", bins.alias("bin"))
-    words = near.select("clip", "chrom", "bin", F.posexplode(kmers(F.col("seq"), k, 1)).alias("offset", "word"))
+    near = clips.where(F.length("seq") >= k).select("clip", "chrom", "seq", bins.alias("bin"))
+    parts = near.groupBy("chrom", "bin").agg(F.floor(F.count("*") / SHARE).cast("int").alias("parts"))
+    near = near.join(parts, ["chrom", "bin"]).withColumn("part", F.pmod(F.xxhash64("clip"), F.col("parts") + 1).cast("int"))
+    mine = near.groupBy("chrom", "bin", "part").agg(F.collect_list(F.struct("clip", "seq")).alias("clips"))
     cover = F.explode(F.sequence(F.floor(F.col("start") / span), F.floor((F.col("start") + F.length("seq")) / span)))
-    needed = near.select("chrom", "bin").distinct()
     stretches = reference.select("chrom", "start", "seq").withColumn("stretch", F.xxhash64("chrom", "start"))
-    wanted = stretches.withColumn("bin", cover).join(needed, ["chrom", "bin"], "left_semi").drop("bin").distinct()
-    spots = wanted.select("chrom", "stretch", F.col("start"), F.posexplode(kmers(F.col("seq"), k, 1)).alias("i", "word"))
-    spots = spots.select("chrom", "stretch", (F.col("start") + F.col("i")).alias("at"), F.floor((F.col("start") + F.col("i")) / span).alias("bin"), "word")
-    votes = words.join(spots, ["chrom", "bin", "word"]).select("clip", "stretch", (F.col("at") - F.col("offset")).alias("place"), "offset").distinct()
-    votes = votes.groupBy("clip", "stretch", "place").agg(F.count("*").alias("votes"))
+    wanted = reference.select("chrom", F.col("start").cast("long").alias("start"), "seq").withColumn("bin", cover).join(parts, ["chrom", "bin"])
+    wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts")))).groupBy("chrom", "bin", "part").agg(F.collect_set(F.struct("start", "seq")).alias("stretches"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for chrom, bin_, texts, clips in zip(f.chrom, f.bin, f.stretches, f.clips, strict=True):
+                spots: dict[str, dict[tuple[int, int], None]] = {}
+                for x in texts:
+                    start, seq = int(x["start"]), x["seq"]
+                    for i in range(max(0, bin_ * span - start), min(len(seq) - k + 1, (bin_ + 1) * span - start)):
+                        spots.setdefault(seq[i : i + k], {})[start, start + i] = None
+                for x in clips:
+                    votes: dict[tuple[int, int], int] = {}
+                    for offset in range(len(x["seq"]) - k + 1):
+                        for start, at in spots.get(x["seq"][offset : offset + k], ()):
+                            votes[start, at - offset] = votes.get((start, at - offset), 0) + 1
+                    rows += [(x["clip"], chrom, *place, n) for place, n in votes.items()]
+            yield pd.DataFrame(rows, columns=["clip", "chrom", "start", "place", "votes"])
+
+    kind = dict(clips.dtypes)
+    met = mine.join(wanted, ["chrom", "bin", "part"]).select("chrom", "bin", "stretches", "clips")
+    votes = met.mapInPandas(run, f"clip {kind['clip']}, chrom {kind['chrom']}, start long, place long, votes long")
+    # A word is in one bin, so the votes of bins add up
+    votes = votes.groupBy("clip", F.xxhash64("chrom", F.col("start").cast(dict(reference.dtypes)["start"])).alias("stretch"), "place").agg(F.sum("votes").alias("votes"))
     best = votes.groupBy("clip").agg(F.max_by(F.struct("place", "stretch", "votes"), F.struct("votes", -F.col("place"), "stretch")).alias("b")).select("clip", "b.*")
     found = best.join(clips.select("clip", F.length("seq").alias("n")), "clip").join(stretches, "stretch")
     low = F.greatest(F.col("place") - pad, F.col("start"))

@@ -50,3 +50,16 @@ def test_near_deletions_are_merged(spark):
     rows = [("c", 100, 600, 5, ["head"]), ("c", 103, 598, 2, ["tail"]), ("c", 300, 900, 1, ["head"]), ("d", 100, 600, 1, ["head"])]
     out = D.merged_deletions(spark.createDataFrame(rows, "chrom string, start long, end long, support long, ends array<string>"))
     assert sorted(tuple(x) for x in out.collect()) == [("c", 100, 600, 7, ["head", "tail"]), ("c", 300, 900, 1, ["head"]), ("d", 100, 600, 1, ["head"])]
+
+
+def test_words_of_clips_stay_in_their_task_and_bins_are_dealt(spark, monkeypatch):
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(900))
+    stretches = spark.createDataFrame([("c", at, ref[at : at + 400]) for at in range(0, 900, 250)], "chrom string, start long, seq string")
+    clips = spark.createDataFrame([(f"{i}", "c", 300, ref[at : at + 40]) for i, at in enumerate(range(420, 720, 20))], "clip string, chrom string, pos long, seq string")
+    whole = sorted(map(tuple, D.placed_clips(clips, stretches, span=256).collect()))
+    assert [r[0] for r in whole] == sorted(r.clip for r in clips.collect())
+    monkeypatch.setattr(D, "SHARE", 2)
+    dealt = D.placed_clips(clips, stretches, span=256)
+    assert sorted(map(tuple, dealt.collect())) == whole
+    assert "posexplode" not in dealt._jdf.queryExecution().toString()  # no table of words that a broadcast could take
