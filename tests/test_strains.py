@@ -73,3 +73,12 @@ def test_formats(spark, tmp_path):
     reads = spark.createDataFrame([("p", 65, "AC", "IJ"), ("p", 145, "AACC", "ABCD"), ("q", 65, "G", "I")], "name string, flag int, seq string, qual string")
     one, two = (x.collect() for x in T.pair_fastq(reads))
     assert [tuple(r) for r in one] == [("p", "AC", "IJ")] and [tuple(r) for r in two] == [("p", "GGTT", "DCBA")]
+
+
+def test_small_windows_are_dealt_to_all_tasks(spark):
+    from readloom.operators import kernels, strains
+
+    far = spark.createDataFrame([(f"w{i}", 0, 1, 0.5) for i in range(40)], "window string, a long, b long, d double")
+    hits = spark.createDataFrame([(f"w{i}", f"c{s}", s, f"r{s}", 1) for i in range(40) for s in (0, 1)], "window string, consensus string, side int, read string, cost long")
+    for found in (kernels.clusters(far, "window", 0.6), strains.cluster_counts(hits, 1e-7), strains.two_sided_clusters(hits, 1)):
+        assert found.select("window").distinct().count() == 40 and found.rdd.getNumPartitions() == 4
